@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import mjpeg
+from ledgerlens.llm import mjpeg, packing, pii, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,22 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.store_texts(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_url_filter": op5_url_filter,
     "op6_media_columns": op6_media_columns,
+    "op9_pii_spans": op9_pii_spans,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
