@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import BATCH_ROWS, materialise
+from ledgerlens.llm.common import materialise, small_batches
 
 SIZE = 1024
 OPEN = 128  # windows that a partition keeps open
@@ -92,7 +92,7 @@ def merge(fills: list[tuple[int, int]], size: int = SIZE) -> list[tuple[int, int
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
     """Pieces with the window each lies in: ``left`` is null for emitted windows, else what the open window holds."""
     kind = dict(docs.dtypes)[key]
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(docs.sparkSession)
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "window", "offset"]
 
     def run(batches):
