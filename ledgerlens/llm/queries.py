@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import embeddings, langid, lm, mixing, mjpeg, packing, pii, simhash, urls
+from ledgerlens.llm import embeddings, html, langid, lm, mixing, mjpeg, packing, pii, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.store_texts(_table(spark, sf_dir, "documents"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_lm_scores": op2_lm_scores,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
