@@ -54,7 +54,7 @@ def like_place(sql: str, column: str = "注册地址") -> str:
 
 def years_in(c: Column) -> Column:
     """Distinct years of a question, sorted; a range (2019-2021, 2019年到2021年, 至) counts with all its years."""
-    single = F.transform(F.regexp_extract_all(c, F.lit(r"(20[0-9]{2}|19[0-9]{2})"), F.lit(1)), lambda y: y.cast("int"))
+    single = F.transform(F.regexp_extract_all(c, F.lit(r"(?<![0-9.])(20[0-9]{2}|19[0-9]{2})(?![0-9.,百千万亿元])"), F.lit(1)), lambda y: y.cast("int"))
     pattern = r"((?:19|20)[0-9]{2})年?(?:-|到|至|~)((?:19|20)[0-9]{2})"
     low, high = (F.regexp_extract(c, pattern, i).try_cast("int") for i in (1, 2))
     span = F.when(low.isNotNull() & (low <= high), F.sequence(F.coalesce(low, F.lit(0)), F.greatest(F.coalesce(high, F.lit(0)), F.coalesce(low, F.lit(0))))).otherwise(F.array().cast("array<int>"))

@@ -14,7 +14,7 @@ _ABOVE, _BELOW = r"(?:大于|超过|高于|多于)", r"(?:小于|低于|少于|
 
 def years(question: str) -> tuple[int, ...]:
     """Sorted distinct years; ranges count with all their years, 去年/前年/前两年 relative to the first year named."""
-    found = {int(y) for y in re.findall(r"(?:19|20)[0-9]{2}", question)}
+    found = {int(y) for y in re.findall(r"(?<![0-9.])(?:19|20)[0-9]{2}(?![0-9.,百千万亿元])", question)}  # 2000万 is an amount
     for a, b in re.findall(r"((?:19|20)[0-9]{2})年?(?:-|到|至|~)((?:19|20)[0-9]{2})", question):
         found |= set(range(int(a), int(b) + 1))
     if found:
