@@ -279,6 +279,7 @@ def distinct_companies(spark, d):
     return table(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_name").alias("company")).distinct()
 
 
-@query(f"WITH {CY} SELECT year, place, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(GROUPING(place) AS INT) AS is_total FROM cy GROUP BY ROLLUP (year, place)")
+@query(f"WITH {CY} SELECT coalesce(cy.year, -1) AS year, coalesce(cy.place, 'all') AS place, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(GROUPING(cy.place) AS INT) AS is_total FROM cy GROUP BY ROLLUP (cy.year, cy.place)")
 def rollup_year_place(spark, d):
-    return cy(spark, d).rollup("year", "place").agg(F.sum("revenue").cast("double").alias("revenue"), F.grouping("place").cast("int").alias("is_total"))
+    r = cy(spark, d).rollup("year", "place").agg(F.sum("revenue").cast("double").alias("revenue"), F.grouping("place").cast("int").alias("is_total"))
+    return r.withColumns({"year": F.coalesce("year", F.lit(-1)), "place": F.coalesce("place", F.lit("all"))})

@@ -23,7 +23,7 @@ def duck():
 
 def rows(df):
     def one(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT", "nan"):
             return "NULL"
         return f"{v:.9g}" if isinstance(v, float) and not math.isnan(v) else str(v)
 
