@@ -52,13 +52,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, k: int, distance, key: str = "vec_id", most_asked: int = 10_000) -> DataFrame:
-    """For each of at most ``most_asked`` query vectors (qid, q) its k nearest rows. The queries are a bounded set by contract and checked to be."""
-    if asked.limit(most_asked + 1).count() > most_asked:
-        raise ValueError(f"more than {most_asked} query vectors")
-    queries = asked.agg(F.collect_list(F.struct("qid", "q")).alias("qs")).first()["qs"]
-    schema = "qid long, q array<double>"
-    block = F.broadcast(vectors.sparkSession.createDataFrame([([(r["qid"], r["q"]) for r in queries],)], f"qs array<struct<{schema.replace(' long', ':long').replace(' array', ':array')}>>").select(F.lit(1).alias("_j"), "qs"))
-    pairs = vectors.select(F.lit(1).alias("_j"), key, F.col("embedding").cast("array<double>").alias("v")).join(block, "_j").select(key, "v", F.explode("qs").alias("x"))
-    scored = pairs.select(F.col("x.qid").alias("qid"), key, F.round(distance(F.col("v"), F.col("x.q")), 6).alias("d"))
+def nearest(vectors: DataFrame, asked: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", block: int = 4096) -> DataFrame:
+    """For each query vector (qid, q) its k nearest rows by ``l2`` or ``cosine`` (as minus the cosine), exact, ties by key.
+
+    The query set goes against all rows in blocks of at most ``block`` vectors: each block is one broadcast of bounded
+    size and one pass, in which a task keeps its k best rows per query; a window merges the tasks' lists.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    # BLAS finds a few candidates more than k; their distances are then worked out from differences
+    spare = 8
+
+    def against(shared):
+        def run(batches):
+            qid, q = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                keys, v = b.column(0).to_numpy(), np.stack([np.asarray(x) for x in b.column(1).to_pylist()])
+                near = q @ v.T
+                if metric == "cosine":
+                    near = -near / np.maximum(np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)), 1e-300)
+                else:
+                    near = (v * v).sum(axis=1)[None] - 2 * near
+                n = min(len(v), k + spare)
+                pick = np.argpartition(near, n - 1, axis=1)[:, :n]
+                exact = np.take_along_axis(near, pick, 1) if metric == "cosine" else np.sqrt(((v[pick] - q[:, None]) ** 2).sum(axis=2))
+                yield pa.record_batch([pa.array(np.repeat(qid, n)), pa.array(keys[pick].ravel()), pa.array(exact.ravel())], names=["qid", key, "d"])
+
+        return run
+
+    found, ids, vecs = None, [], []
+
+    def pass_over():
+        shared = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vecs, np.float64)))
+        out = rows.mapInArrow(against(shared), f"qid long, `{key}` {dict(vectors.dtypes)[key]}, d double")
+        return out if found is None else found.union(out)
+
+    for r in asked.select("qid", "q").toLocalIterator():
+        ids.append(r["qid"])
+        vecs.append(r["q"])
+        if len(ids) == block:
+            found = pass_over()
+            ids, vecs = [], []
+    if ids:
+        found = pass_over()
+    if found is None:
+        return spark.createDataFrame([], f"qid long, `{key}` {dict(vectors.dtypes)[key]}, d double, rank int")
+    scored = found.withColumn("d", F.round("d", 6))
     return top_k(scored, "qid", [F.col("d"), F.col(key)], k, key)

@@ -50,10 +50,10 @@ def early_stop_scan(spark, d):
     return lines(spark, d).withColumn("s", stop).where("s is null or pos < s").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN strpos(text, 'the') > 0 THEN substr(text, strpos(text, 'the'), 40) ELSE '' END AS body FROM documents")
+@query("SELECT doc_id, CASE WHEN strpos(text, 'the') > 0 THEN substr(text, strpos(text, 'the')) ELSE '' END AS body FROM documents")
 def prefix_trim(spark, d):
     at = F.instr("text", "the")
-    return table(spark, d, "documents").select("doc_id", F.when(at > 0, F.col("text").substr(at, F.lit(40))).otherwise(F.lit("")).alias("body"))
+    return table(spark, d, "documents").select("doc_id", F.when(at > 0, F.col("text").substr(at, F.length("text"))).otherwise(F.lit("")).alias("body"))
 
 
 _ROWS = "r AS (SELECT doc_id, pos, string_split(line, ' | ') AS cells FROM ln WHERE contains(line, ' | '))"

@@ -71,10 +71,10 @@ def unit_scale(spark, d):
 VOCABULARY = ("the", "then", "tion", "ing", "ation", "of", "heon", "there")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, 'ation|there|heon|then|tion|ing|the|of')) AS n, array_to_string(regexp_extract_all(text, 'ation|there|heon|then|tion|ing|the|of')[1:5], ',') AS first FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, 'ation|there|heon|then|tion|ing|the|of')) AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(text, 'ation|there|heon|then|tion|ing|the|of'))), ',') AS found FROM documents")
 def trie_keywords(spark, d):
     hits = X.keywords(F.col("text"), VOCABULARY)
-    return table(spark, d, "documents").select("doc_id", hits.alias("h")).select("doc_id", F.size("h").cast("long").alias("n"), F.array_join(F.slice("h", 1, 5), ",").alias("first"))
+    return table(spark, d, "documents").select("doc_id", hits.alias("h")).select("doc_id", F.size("h").cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct("h")), ",").alias("found"))
 
 
 ALIASES = [("研发人数", "研发人员人数"), ("总负债", "负债合计"), ("利润总额", "利润总额"), ("资产总额", "资产总计"), ("营业收入", "营业收入")]
@@ -200,12 +200,12 @@ def transcript(spark, d):
     return C.transcript(table(spark, d, "conversations"))
 
 
-@query("WITH s AS (SELECT doc_id, k, substr(text, 1, k * 10) AS t FROM documents, range(1, 5) r(k)) SELECT doc_id, CAST(k AS INT) AS k, substr(t, coalesce(length(LAG(t) OVER (PARTITION BY doc_id ORDER BY k)), 0) + 1) AS delta FROM s")
+@query("WITH s AS (SELECT doc_id, k, substr(text, 1, CAST(length(text) * k // 4 AS BIGINT)) AS t FROM documents, range(1, 5) r(k)) SELECT doc_id, CAST(k AS INT) AS k, substr(t, coalesce(length(LAG(t) OVER (PARTITION BY doc_id ORDER BY k)), 0) + 1) AS delta FROM s")
 def token_delta(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), "text")
-    x = x.withColumn("t", F.col("text").substr(F.lit(1), F.col("k") * 10))
+    x = x.withColumn("t", F.col("text").substr(F.lit(1), F.floor(F.length("text") * F.col("k") / 4).cast("int")))
     last = F.coalesce(F.length(F.lag("t").over(Window.partitionBy("doc_id").orderBy("k"))), F.lit(0))
-    return x.select("doc_id", "k", F.col("t").substr(last + 1, F.lit(1_000_000)).alias("delta"))
+    return x.select("doc_id", "k", F.col("t").substr(last + 1, F.length("t")).alias("delta"))
 
 
 _IDS = "list_transform(string_split({0}, ' '), lambda w: length(w))"

@@ -77,9 +77,9 @@ def merge_four_tables(spark, d):
     return x.select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice")
 
 
-@query("WITH p AS (SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '其他' ELSE p_brand || '--' || p_type || '--' || p_name END AS raw FROM part) SELECT p_partkey, CASE WHEN raw = '其他' THEN raw ELSE split_part(raw, '--', 1) || '--' || split_part(raw, '--', 2) END AS industry FROM p")
+@query("WITH p AS (SELECT p_partkey, CASE WHEN p_size < 5 THEN '其他' ELSE p_brand || '--' || p_type || '--' || p_name END AS raw FROM part) SELECT p_partkey, CASE WHEN raw = '其他' THEN raw ELSE split_part(raw, '--', 1) || '--' || split_part(raw, '--', 2) END AS industry FROM p")
 def industry_two_level(spark, d):
-    raw = F.when(F.col("p_size") % 10 == 0, F.lit("其他")).otherwise(F.concat_ws("--", "p_brand", "p_type", "p_name"))
+    raw = F.when(F.col("p_size") < 5, F.lit("其他")).otherwise(F.concat_ws("--", "p_brand", "p_type", "p_name"))
     x = table(spark, d, "part").select("p_partkey", raw.alias("raw"))
     return x.select("p_partkey", F.when(F.col("raw") == "其他", F.col("raw")).otherwise(F.concat_ws("--", F.slice(F.split("raw", "--"), 1, 2))).alias("industry"))
 
@@ -200,11 +200,11 @@ def rows_with_any_null(spark, d):
     return wide_report(spark, d).select("l_suppkey", "year", reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names]).alias("has_null"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS v FROM customer WHERE c_custkey % 5 <> 0) a FULL JOIN (SELECT c_custkey AS k, 'text:' || c_name AS v FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS v FROM customer WHERE c_mktsegment <> 'BUILDING') a FULL JOIN (SELECT c_custkey AS k, 'text:' || c_name AS v FROM customer WHERE c_acctbal < 5000) b ON a.k = b.k")
 def merge_fill_missing(spark, d):
     c = table(spark, d, "customer")
-    a = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("v"))
-    b = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.concat(F.lit("text:"), "c_name").alias("v2"))
+    a = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("v"))
+    b = c.where("c_acctbal < 5000").select(F.col("c_custkey").alias("k"), F.concat(F.lit("text:"), "c_name").alias("v2"))
     return a.join(b, "k", "full").select("k", F.coalesce("v", "v2").alias("v"))
 
 
@@ -230,11 +230,11 @@ def dedup_full_record(spark, d):
     return table(spark, d, "conversations").select("role", "text").dropDuplicates()
 
 
-@query("SELECT role, text FROM conversations WHERE turn % 2 = 0 GROUP BY 1, 2 EXCEPT SELECT role, text FROM conversations WHERE turn % 2 = 1")
+@query("SELECT text FROM conversations WHERE role = 'assistant' GROUP BY 1 EXCEPT SELECT text FROM conversations WHERE role <> 'assistant'")
 def insert_if_absent(spark, d):
     c = table(spark, d, "conversations")
-    new, old = (c.where(F.col("turn") % 2 == i).select("role", "text") for i in (0, 1))
-    return new.dropDuplicates().join(old, ["role", "text"], "left_anti")
+    new, old = (c.where(x).select("text") for x in ("role = 'assistant'", "role <> 'assistant'"))
+    return new.dropDuplicates().join(old, "text", "left_anti")
 
 
 @query("SELECT l_partkey, max_by(l_shipmode_like, (l_orderkey, l_linenumber)) AS last_value FROM (SELECT l_partkey, l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN CAST(l_quantity AS VARCHAR) END AS l_shipmode_like FROM lineitem) WHERE l_shipmode_like IS NOT NULL GROUP BY 1")

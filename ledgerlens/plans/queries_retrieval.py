@@ -35,26 +35,26 @@ def bm25_per_keyword(spark, d):
 _DIST = "sqrt(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS qid, e.vec_id, ROUND({_DIST}, 6) AS d FROM embeddings e, embeddings q WHERE q.vec_id < 3), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")
+@query(f"WITH s AS (SELECT q.vec_id AS qid, e.vec_id, ROUND({_DIST}, 6) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")
 def dense_l2_topk(spark, d):
     v = table(spark, d, "embeddings")
-    return R.nearest(v, v.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q")), 5, R.l2)
+    return R.nearest(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q")), 5, "l2")
 
 
-@query("WITH s AS (SELECT q.vec_id AS qid, e.vec_id, ROUND(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id < 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, cosine FROM r WHERE rank <= 5 AND cosine > 0.2")
+@query("WITH s AS (SELECT q.vec_id AS qid, e.vec_id, ROUND(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, cosine FROM r WHERE rank <= 5 AND cosine > 0.2")
 def cosine_top5_threshold(spark, d):
     v = table(spark, d, "embeddings")
-    asked = v.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q"))
-    near = R.nearest(v, asked, 5, lambda a, b: -R.cosine(a, b))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q"))
+    near = R.nearest(v, asked, 5, "cosine")
     return near.select("qid", "vec_id", (-F.col("d")).alias("cosine")).where("cosine > 0.2")
 
 
-@query(f"WITH b AS ({_bm25(False, 3)}), s AS (SELECT q.vec_id AS qid, e.vec_id, ROUND({_DIST}, 6) AS d FROM embeddings e, embeddings q WHERE q.vec_id BETWEEN 1 AND 3), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS INT) AS rank FROM s) SELECT 'sparse' AS source, CAST(qid AS BIGINT) AS qid, doc_id AS id, rank FROM b UNION ALL SELECT 'dense', qid, vec_id, rank FROM r WHERE rank <= 3")
+@query(f"WITH b AS ({_bm25(False, 3)}), s AS (SELECT q.vec_id AS qid, e.vec_id, ROUND({_DIST}, 6) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS INT) AS rank FROM s) SELECT 'sparse' AS source, CAST(qid AS BIGINT) AS qid, doc_id AS id, rank FROM b UNION ALL SELECT 'dense', qid, vec_id, rank FROM r WHERE rank <= 3")
 def hybrid_retrieval(spark, d):
     v = table(spark, d, "embeddings")
     sparse = R.bm25(table(spark, d, "documents"), ASKED, 3).select(F.lit("sparse").alias("source"), F.col("qid").cast("long").alias("qid"), F.col("doc_id").alias("id"), "rank")
-    asked = v.where("vec_id between 1 and 3").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q"))
-    dense = R.nearest(v, asked, 3, R.l2).select(F.lit("dense").alias("source"), "qid", F.col("vec_id").alias("id"), "rank")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("q"))
+    dense = R.nearest(v, asked, 3, "l2").select(F.lit("dense").alias("source"), "qid", F.col("vec_id").alias("id"), "rank")
     return sparse.unionByName(dense)
 
 
