@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ STEPS, BATCH = 500, 128
 ALPHA = 0.1
 FLUSH = 200_000  # distinct words that a counting task holds before it emits them
 AT_ONCE = 128  # chunks that are in one pass, small enough for the processor's cache
-GROUP_TOKENS = 100_000  # subwords scored together, about
+GROUP_BYTES = 2 << 20  # of texts that are scored together, about
 
 
 @lru_cache(maxsize=2)
@@ -85,20 +86,21 @@ def cutter(ranks_path: str | None = None):
 # --- the model --------------------------------------------------------------------------------------------------
 
 
-def layout(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences (END, ids, END) in chunks of STRIDE, each text after one empty chunk: inputs and targets (chunks, STRIDE) with -1 for none, text of each chunk.
+def layout(targets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other (ids and END each) in chunks of STRIDE, each text after one empty chunk: inputs and
+    targets (chunks, STRIDE) with -1 for none, text of each chunk, and where each id went.
 
     A chunk and the one before it are a window; the window of a text's empty chunk has no targets.
     """
-    chunks = np.array([1 - (-(len(t) - 1) // STRIDE) for t in texts])
+    chunks = 1 - (-lengths // STRIDE)
     at = np.concatenate(([0], np.cumsum(chunks)))
-    tokens = np.full(at[-1] * STRIDE, -1, np.int64)
-    targets = tokens.copy()
-    for c, t in zip(at.tolist(), texts, strict=False):
-        i = (c + 1) * STRIDE
-        tokens[i : i + len(t) - 1] = t[:-1]
-        targets[i : i + len(t) - 1] = t[1:]
-    return tokens.reshape(-1, STRIDE), targets.reshape(-1, STRIDE), np.repeat(np.arange(len(texts)), chunks)
+    ends = np.cumsum(lengths)
+    place = np.repeat((at[:-1] + 1) * STRIDE - (ends - lengths), lengths) + np.arange(len(targets))
+    put, tokens = np.full(at[-1] * STRIDE, -1, np.int64), np.full(at[-1] * STRIDE, -1, np.int64)
+    put[place] = targets
+    tokens[place[1:]] = targets[:-1]
+    tokens[(at[:-1] + 1) * STRIDE] = END
+    return tokens.reshape(-1, STRIDE), put.reshape(-1, STRIDE), np.repeat(np.arange(len(lengths)), chunks), place
 
 
 class Attention:
@@ -315,7 +317,7 @@ class Scorer:
         self.sums = np.stack((np.ones(classes, np.float32), begins), axis=1)
         self.net = Attention(len(own) + classes, classes, rates / rates.sum())
         if sample:
-            tokens, targets, _ = layout(sample)
+            tokens, targets, _, _ = layout(np.concatenate([t[1:] for t in sample]), np.array([len(t) - 1 for t in sample]))
             tokens, targets = self._rows(tokens), np.where(targets < 0, -1, cls[targets])
             windows, targets = np.concatenate((tokens[:-1], tokens[1:]), axis=1), targets[1:]
             some = (targets >= 0).any(axis=1)
@@ -363,11 +365,43 @@ class Scorer:
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each sequence (END, ids, END)."""
-        tokens, targets, owner = layout(texts)
+        targets, lengths = np.concatenate([t[1:] for t in texts]), np.array([len(t) - 1 for t in texts])
+        return self.score_flat(targets, lengths, *self.tree.evidence(targets, self.starts, np.cumsum(lengths) - lengths))
+
+    def score_words(self, words: list[bytes], counts: np.ndarray, cut) -> np.ndarray:
+        """log10 probability of texts given by all their words and the number of words of each. What depends on a word
+        alone, its ids and its place in the tree, is worked out once for each distinct word."""
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        return self.score_numbered(list(number), which, counts, cut)
+
+    def score_numbered(self, distinct: list[bytes], which: np.ndarray, counts: np.ndarray, cut) -> np.ndarray:
+        ids = np.append(cut(distinct), END)
+        first = np.flatnonzero(self.starts[ids])  # of each distinct word, and of the END after them
+        x, y = self.tree.evidence(ids, self.starts, np.zeros(1, np.int64))
+        size = np.diff(first)
+        # each word's ids, with one place more after a text's last word for END
+        long = size[which] if len(which) else np.zeros(0, np.int64)
+        ends = np.cumsum(counts)
+        text = np.repeat(np.arange(len(counts)), counts)
+        begin = np.cumsum(long) - long + text  # of each word among all ids
+        total = int(long.sum()) + len(counts)
+        targets, a, b = np.full(total, END), np.zeros(total, np.float32), np.ones(total, np.float32)
+        place = np.repeat(begin, long) + (inner := np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long))
+        source = np.repeat(first[which], long) + inner
+        targets[place], a[place], b[place] = ids[source], x[source], y[source]
+        after, then = begin + long, first[which + 1]  # a word's end is told at the id after it
+        a[after], b[after] = x[then], y[then]
+        sums = np.concatenate(([0], np.cumsum(long)))
+        lengths = sums[ends] - sums[ends - counts] + 1
+        starts = np.cumsum(lengths) - lengths
+        a[starts], b[starts] = 1, 0
+        return self.score_flat(targets, lengths, a, b)
+
+    def score_flat(self, ids: np.ndarray, lengths: np.ndarray, evidence_a: np.ndarray, evidence_b: np.ndarray) -> np.ndarray:
+        tokens, targets, owner, place = layout(ids, lengths)
         a, b = np.zeros(targets.size, np.float32), np.ones(targets.size, np.float32)
-        told = np.flatnonzero(targets.ravel() >= 0)
-        begins = np.concatenate(([0], np.cumsum([len(t) - 1 for t in texts])))[:-1]
-        a[told], b[told] = self.tree.evidence(np.concatenate([t[1:] for t in texts]), self.starts, begins)
+        a[place], b[place] = evidence_a, evidence_b
         a, b = a.reshape(targets.shape), b.reshape(targets.shape)
         rows, out = self._rows(tokens), np.zeros(len(tokens))
         for i in range(0, len(tokens) - 1, AT_ONCE):
@@ -382,7 +416,7 @@ class Scorer:
             each = np.where(self.starts[want], (x + y * begin) * own / begin, x + y * own)
             each[want < 0] = 1
             out[i + 1 : j + 1] = np.log10(np.maximum(each, 1e-300)).reshape(-1, STRIDE).sum(axis=1)
-        return np.bincount(owner, out, len(texts))
+        return np.bincount(owner, out, len(lengths))
 
 
 # --- the operator -----------------------------------------------------------------------------------------------
@@ -508,24 +542,32 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
     def run(state, batch: pa.RecordBatch) -> pa.RecordBatch:
         model, known, cut = state
         count, sure, base, tails, scores = [], [], [], [], []
-        waiting: list[np.ndarray] = []
+
+        def finish(texts: list[list[bytes]]) -> None:
+            words = list(chain.from_iterable(texts))
+            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            distinct, sizes = list(number), np.array([len(t) for t in texts])
+            scores.extend(model.score_numbered(distinct, which, sizes, cut).tolist())
+            logs = np.array([known.get(w, np.nan) for w in distinct])[which] if words else np.zeros(0)
+            rare, ends_at = np.isnan(logs), np.cumsum(sizes)
+            text = np.repeat(np.arange(len(texts)), sizes)
+            base.extend((end_log + np.bincount(text, np.where(rare, 0, logs), len(texts))).tolist())
+            sure.extend((sizes - np.bincount(text, rare, len(texts)).astype(int) + (ends > 0)).tolist())
+            count.extend((sizes + 1).tolist())
+            for i, j in zip((ends_at - sizes).tolist(), ends_at.tolist(), strict=True):
+                tails.append([{"w": distinct[k], "n": n} for k, n in Counter(which[i:j][rare[i:j]].tolist()).items()])
+
+        waiting: list[list[bytes]] = []
         size = 0
         for t in text_bytes(batch.column(3)):
-            own = t.lower().split()
-            logs = list(map(known.get, own))
-            rare = Counter(w for w, x in zip(own, logs, strict=True) if x is None) if None in logs else {}
-            hits = len(own) - sum(rare.values())
-            count.append(len(own) + 1)
-            sure.append(hits + (ends > 0))
-            base.append(end_log + sum(x for x in logs if x is not None))
-            tails.append([{"w": w, "n": k} for w, k in rare.items()])
-            waiting.append(sequence(own, cut))
-            size += len(waiting[-1])
-            if size > GROUP_TOKENS:
-                scores += model.score(waiting).tolist()
+            waiting.append(t.lower().split())
+            size += len(t)
+            if size > GROUP_BYTES:
+                finish(waiting)
                 waiting, size = [], 0
         if waiting:
-            scores += model.score(waiting).tolist()
+            finish(waiting)
         return pa.record_batch(
             [*(batch.column(i) for i in range(3)), pa.array(count, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, tail_type)],
             names=["_row", key, "held_out", "n_tokens", "sure", "base", "score", "tail"],

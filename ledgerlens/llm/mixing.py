@@ -151,7 +151,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     spark = docs.sparkSession
     many = dict(docs.dtypes)[source].startswith("array")
-    own = F.array_sort(F.array_distinct(F.coalesce(source, F.array(F.lit(None).cast("string"))))) if many else F.array(F.col(source))
+    own = F.array_sort(F.array_distinct(F.coalesce(source, F.array(F.lit(None).cast("string"))))) if many else F.array(F.col(source).cast("string"))
     rows = docs.select(F.col(key).alias("_key"), words(F.col(text)).alias("size"), own.alias("sources"), F.monotonically_increasing_id().alias("_row"), F.xxhash64(F.lit(seed), key, F.col(text)).alias("_h"))
     # written once: later steps read sizes instead of texts, and row numbers stay the same
     rows, _ = materialise(rows, "mix")
