@@ -140,24 +140,39 @@ class Attention:
         return s, s @ v
 
     def logits(self, chunks: np.ndarray) -> np.ndarray:
-        """Chunks of one layout (the first is empty) -> logits of all tokens of chunks 1.., (n * STRIDE, classes)."""
+        """Chunks of one layout (the first is empty) -> logits of all tokens of chunks 1.., (n * STRIDE, classes).
+
+        The same function as in ``gradients``. What depends on a token alone (query, key, value, its part of the hidden
+        layer) is one row of a table; windows are overlapping views of the gathered rows.
+        """
         w, d = self.w, WIDTH
         if self.tables is None:
-            self.tables = (*(np.ascontiguousarray(w["e"] @ w[m]) for m in "qkv"), np.vstack((w["o"], w["ob"])))
+            q, k, v = (w["e"] @ w[m] for m in "qkv")
+            most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(w["r"]).max()
+            self.tables = np.concatenate((q, k, v, w["e"] @ w["a"][:d] + w["ab"]), axis=1), np.vstack((w["o"], w["ob"])), bool(most < 60)
+        table, out, small = self.tables
         flat = chunks.ravel()
         n = len(chunks) - 1
-
-        def overlapping(x: np.ndarray) -> np.ndarray:
-            x = np.ascontiguousarray(x)
-            b = x.strides
-            return np.lib.stride_tricks.as_strided(x, (n, WINDOW, *x.shape[1:]), (STRIDE * b[0], *b))
-
-        q, k, v = (t[flat] for t in self.tables[:3])
-        _, mixed = self.attend(q[STRIDE:].reshape(n, STRIDE, d), overlapping(k), overlapping(v), overlapping(flat < 0))
-        h = np.concatenate((w["e"][flat[STRIDE:]], mixed.reshape(-1, d)), axis=1)
-        u = np.ones((len(h), HIDDEN + 1), np.float32)  # the last column carries the bias
-        np.maximum(h @ w["a"] + w["ab"], 0, out=u[:, :-1])
-        return u @ self.tables[-1]
+        rows = table[flat]
+        b = rows.strides
+        over = lambda x: np.lib.stride_tricks.as_strided(x, (n, WINDOW, d), (STRIDE * b[0], *b))
+        s = rows[STRIDE:, :d].reshape(n, STRIDE, d) @ over(rows[:, d : 2 * d]).transpose(0, 2, 1)
+        s += self.bias()
+        empty = flat < 0
+        if empty.any():
+            e = np.lib.stride_tricks.as_strided(empty, (n, WINDOW), (STRIDE, 1))
+            i, j = e.nonzero()
+            s[i, :, j] = -1e4
+        if not small:
+            np.minimum(s, np.float32(60), out=s)
+        np.exp(s, out=s)
+        mixed = s @ over(rows[:, 2 * d : 3 * d])
+        mixed /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
+        hidden = np.ones((n * STRIDE, HIDDEN + 1), np.float32)  # the last column carries the bias
+        u = mixed.reshape(-1, d) @ w["a"][d:]
+        u += rows[STRIDE:, 3 * d :]
+        np.maximum(u, 0, out=hidden[:, :-1])
+        return hidden @ out
 
     def gradients(self, tokens: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
         """tokens (n, WINDOW), targets (n, STRIDE): mean cross-entropy over targets >= 0 and its gradients."""
@@ -306,7 +321,7 @@ class Scorer:
         order = np.argsort(-counts, kind="stable")
         cls = self._classes(counts, order, sample, starts_word)
         within = np.bincount(cls, counts + ALPHA)
-        self.cls, self.inner = cls, np.log((counts + ALPHA) / within[cls])
+        self.cls, self.inner = cls, (counts + ALPHA) / within[cls]
         own = order[: min(EMBEDDED, int((counts > 0).sum()))]
         self.row = len(own) + cls  # others share their class's row
         self.row[own] = np.arange(len(own))
@@ -410,7 +425,7 @@ class Scorer:
             p = self.net.logits(rows[i : j + 1])
             np.exp(p, out=p)
             total = p @ self.sums
-            own = p[np.arange(len(want)), self.cls[want]] / total[:, 0] * np.exp(self.inner[want])
+            own = p[np.arange(len(want)), self.cls[want]] / total[:, 0] * self.inner[want]
             begin = np.maximum(total[:, 1] / total[:, 0], 1e-20)
             x, y = a[i + 1 : j + 1].ravel(), b[i + 1 : j + 1].ravel()
             each = np.where(self.starts[want], (x + y * begin) * own / begin, x + y * own)
@@ -449,23 +464,30 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(text).mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def count_subwords(words: DataFrame, ranks_path: str | None) -> np.ndarray:
-    """Occurrences of each id, from all counted words."""
+def count_subwords(words: DataFrame, tree: WordTree, ranks_path: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of each id, and those that pass and end at each node of the tree, from all counted words in one pass."""
     small_batches(words.sparkSession)
+    shared = words.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
-        cut, starts, total = cutter(ranks_path), word_starts(ranks_path), np.zeros(VOCABULARY)
+        own, cut, starts = shared.value, cutter(ranks_path), word_starts(ranks_path)
+        ids_total, node_total = np.zeros(VOCABULARY), np.zeros((2, own.nodes))
         for b in batches:
-            ids = cut(b.column(0).to_pylist())
-            total += np.bincount(ids, b.column(1).to_numpy()[np.cumsum(starts[ids]) - 1], VOCABULARY)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], names=["id", "c"])
-
-    got = words.select("w", "c").mapInArrow(run, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()
-    out = np.zeros(VOCABULARY)
-    for r in got:  # at most VOCABULARY rows
-        out[r["id"]] = r["c"]
-    return out
+            ids, c = cut(b.column(0).to_pylist()), b.column(1).to_numpy()
+            ids_total += np.bincount(ids, c[np.cumsum(starts[ids]) - 1], VOCABULARY)
+            node_total += own.tally(ids, starts, c)
+        # nodes are told after the ids
+        first = np.concatenate((ids_total, node_total[0]))
+        second = np.concatenate((np.zeros(VOCABULARY), node_total[1]))
+        some = np.flatnonzero(first)
+        yield pa.record_batch([pa.array(some), pa.array(first[some].astype(np.int64)), pa.array(second[some].astype(np.int64))], names=["cell", "p", "e"])
+
+    # at most as many rows as there are ids and nodes
+    got = words.select("w", "c").mapInArrow(run, "cell long, p long, e long").groupBy("cell").agg(F.sum("p").alias("p"), F.sum("e").alias("e")).toPandas()
+    out = np.zeros((2, VOCABULARY + tree.nodes))
+    out[0, got["cell"]], out[1, got["cell"]] = got["p"], got["e"]
+    shared.unpersist()
+    return out[0, :VOCABULARY], out[:, VOCABULARY:]
 
 
 def sequence(words: list[bytes], cut) -> np.ndarray:
@@ -474,35 +496,22 @@ def sequence(words: list[bytes], cut) -> np.ndarray:
 
 def fit(train: DataFrame, words: DataFrame, head: dict[bytes, int], key: str, text: str, ends: int, ranks_path: str | None) -> Scorer:
     """Weights from a bounded sample of rows, everything else from counts over all training rows."""
-    counts = count_subwords(words, ranks_path)
+    ordered = sorted(head)
+    cut, starts = cutter(ranks_path), word_starts(ranks_path)
+    ids = cut(ordered)
+    tree = WordTree(np.split(ids, np.flatnonzero(starts[ids])[1:]) if len(ids) else [])
+    counts, nodes = count_subwords(words, tree, ranks_path)
     counts[END] = ends
+    tree.weigh(*nodes)
     draw = F.pmod(F.xxhash64(F.lit("lm"), key, F.col(text)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(ends, 1)))
     rows = train.where(draw).select(key, text).collect()
-    cut, sample, n = cutter(ranks_path), [], 0
+    sample: list[np.ndarray] = []
+    n = 0
     for r in sorted(rows, key=lambda r: (str(r[0]), r[1] or "")):
         if n > SAMPLE_TOKENS:
             break
         sample.append(sequence((r[1] or "").encode().lower().split(), cut))
         n += len(sample[-1])
-    ordered = sorted(head)
-    ids, starts = cut(ordered), word_starts(ranks_path)
-    tree = WordTree(np.split(ids, np.flatnonzero(starts[ids])[1:]) if len(ids) else [])
-    shared = words.sparkSession.sparkContext.broadcast(tree)
-
-    def tally(batches):
-        own, cut, starts = shared.value, cutter(ranks_path), word_starts(ranks_path)
-        total = np.zeros((2, own.nodes))
-        for b in batches:
-            total += own.tally(cut(b.column(0).to_pylist()), starts, b.column(1).to_numpy())
-        some = np.flatnonzero(total[0])
-        yield pa.record_batch([pa.array(some), pa.array(total[0, some].astype(np.int64)), pa.array(total[1, some].astype(np.int64))], names=["node", "p", "e"])
-
-    # at most as many rows as the tree has nodes
-    got = words.select("w", "c").mapInArrow(tally, "node long, p long, e long").groupBy("node").agg(F.sum("p").alias("p"), F.sum("e").alias("e")).toPandas()
-    passing, ending = np.zeros(tree.nodes), np.zeros(tree.nodes)
-    passing[got["node"]], ending[got["node"]] = got["p"], got["e"]
-    tree.weigh(passing, ending)
-    shared.unpersist()
     return Scorer(counts, sample, starts, tree)
 
 
