@@ -2,10 +2,13 @@
 
 Counts come from the whole training corpus: words are counted everywhere, distinct words are cut into subwords once, and
 the subword counts give each token's probability within its class. The attention model (one head, relative positions,
-a hidden layer) predicts the class; its weights are fitted on a bounded sample of training rows. Frequent subwords are
-classes of their own, the others share classes found by clustering their neighbours. Within a word, the prediction is
-interpolated with the subword tree of the corpus's frequent words (Witten-Bell weights), whose share of words that end
-at a node is set against the model's probability that a new word begins. The whole is a proper distribution over
+a hidden layer) predicts the class; its weights start from a small sample and are then fitted on every window of every
+training row, in tasks whose weights are averaged. Frequent subwords are classes of their own, the others share classes
+found by clustering their neighbours in all training rows. Within a word, the prediction is interpolated with the
+subword tree of all the corpus's words (Witten-Bell weights), whose share of words that end at a node is set against the
+model's probability that a new word begins. The tree is a table of nodes; the nodes of frequent words are also
+broadcast, and what the model says of other words travels to their nodes by a shuffle, so the size of the broadcast
+part has no effect on the scores. The whole is a proper distribution over
 sequences of ids. Texts are scored in overlapping windows, batched over documents: each window sees WINDOW tokens,
 masked causally, and scores the last STRIDE of them, so each token is scored once.
 
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import by_batch, materialise, small_batches, text_bytes
+from ledgerlens.llm.common import by_batch, materialise, release, small_batches, text_bytes
 
-HEAD = 1 << 17  # words of the broadcast table and of the subword tree at most
-SAMPLE_ROWS = 400  # training rows the weights are fitted on, in expectation
-SAMPLE_TOKENS = 400_000  # of them, subwords used in fitting
+HEAD = 1 << 17  # words of the broadcast table and of the broadcast part of the subword tree at most
+SAMPLE_ROWS = 400  # training rows the weights start from, in expectation; all rows follow
+SAMPLE_TOKENS = 400_000  # of them, subwords used for the start
+TASK_ROWS = 8000  # training rows of a fitting task, about
 VOCABULARY, END = 50_257, 50_256  # ids of byte_bpe_50k; the last one ends a text
 WINDOW, STRIDE = 32, 16
 WIDTH, HIDDEN = 24, 32
@@ -83,6 +87,27 @@ def cutter(ranks_path: str | None = None):
     return cut
 
 
+@lru_cache(maxsize=1)
+def _marks() -> np.ndarray:
+    return np.random.default_rng(5).integers(0, 1 << 64, VOCABULARY, np.uint64) | np.uint64(1)
+
+
+def node_keys(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words' ids one after the other: the key of each id's node in the tree of all words (a 64-bit hash of its word's
+    ids up to it, never 0), where words begin, and their sizes."""
+    first = np.flatnonzero(starts[ids])
+    size = np.append(first[1:], len(ids)) - first
+    inner = np.arange(len(ids)) - np.repeat(first, size)
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    each = _marks()[ids] * power[inner]
+    total = np.cumsum(each, dtype=np.uint64)
+    h = total - np.repeat(total[first] - each[first], size)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ (h >> np.uint64(31))).view(np.int64)
+    return np.where(h == 0, 1, h), first, size
+
+
 # --- the model --------------------------------------------------------------------------------------------------
 
 
@@ -207,27 +232,49 @@ class Attention:
         g["q"], g["k"], g["v"] = xq.T @ dq, x2.T @ dk, x2.T @ dv
         dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(x.shape)
         dx[:, -STRIDE:] += (dxq + dq @ w["q"].T).reshape(n, STRIDE, d)
+        flat = tokens.ravel() % len(w["e"])
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        at = np.flatnonzero(np.diff(flat, prepend=-1))
         g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], tokens.ravel(), dx.reshape(-1, d))
+        g["e"][flat[at]] = np.add.reduceat(dx.reshape(-1, d)[order], at, axis=0)
         return loss, g
 
     def train(self, tokens: np.ndarray, targets: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
-        g, losses = np.random.default_rng(seed), []
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
+        g, adam = np.random.default_rng(seed), Adam(self)
+        losses = []
         for t in range(1, steps + 1):
             pick = g.integers(0, len(tokens), BATCH)
-            loss, grad = self.gradients(tokens[pick], targets[pick])
-            losses.append(loss)
-            rate = 6e-3 * min(1, t / 20) * (1 - 0.95 * t / steps)
-            for k, v in grad.items():
-                m[k] += 0.1 * (v - m[k])
-                s[k] += 0.01 * (v * v - s[k])
-                self.w[k] -= (rate / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)
+            losses.append(adam.step(tokens[pick], targets[pick], 6e-3 * min(1, t / 20) * (1 - 0.95 * t / steps)))
         self.tables = None
         return losses
 
 
+class Adam:
+    def __init__(self, net: Attention):
+        self.net, self.t = net, 0
+        self.m = {k: np.zeros_like(v) for k, v in net.w.items()}
+        self.s = {k: np.zeros_like(v) for k, v in net.w.items()}
+
+    def step(self, tokens: np.ndarray, targets: np.ndarray, rate: float) -> float:
+        self.t += 1
+        loss, grad = self.net.gradients(tokens, targets)
+        for k, v in grad.items():
+            self.m[k] += 0.1 * (v - self.m[k])
+            self.s[k] += 0.01 * (v * v - self.s[k])
+            self.net.w[k] -= (rate / (1 - 0.9**self.t)) * self.m[k] / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-6)
+        return loss
+
+
+def neighbours(flat: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts): how often which mark stands before or after each id that has no class of its own."""
+    cells = []
+    for a, b, shift in ((flat[1:], flat[:-1], 0), (flat[:-1], flat[1:], OWN_CLASS + 1)):
+        use = mark[a] == OWN_CLASS
+        cells.append(a[use] * (2 * (OWN_CLASS + 1)) + mark[b[use]] + shift)
+    return np.unique(np.concatenate(cells), return_counts=True)
+
+
 class WordTree:
     """Subword tree with the frequent words' nodes and counts of all words on them. For a token: its share among what
     follows the prefix before it and the weight left to the model, which is the share of words that leave the tree there
@@ -271,9 +318,27 @@ class WordTree:
             node = self._step(node, ids[first[live] + depth])
         return out
 
-    def weigh(self, passing: np.ndarray, ending: np.ndarray) -> None:
-        known = ending + np.bincount(self.parent[1:], passing[1:], self.nodes)
-        kinds = (ending > 0) + np.bincount(self.parent[1:], minlength=self.nodes)
+    def places(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Node of each id of words one after the other, -1 outside of the tree."""
+        out = np.full(len(ids), -1, np.int64)
+        first = np.flatnonzero(starts[ids])
+        size = np.append(first[1:], len(ids)) - first
+        node, live, depth = self.first[ids[first]], np.arange(len(first)), 0
+        while len(live):
+            out[first[live] + depth] = node
+            more = (size[live] > depth + 1) & (node >= 0)
+            live, node = live[more], node[more]
+            depth += 1
+            node = self._step(node, ids[first[live] + depth])
+        return out
+
+    def weigh(self, passing: np.ndarray, ending: np.ndarray, kinds: np.ndarray | None = None) -> None:
+        """``kinds``: how many things follow each node in the tree of all words, of which this one is then a part."""
+        if kinds is None:
+            known = ending + np.bincount(self.parent[1:], passing[1:], self.nodes)
+            kinds = (ending > 0) + np.bincount(self.parent[1:], minlength=self.nodes)
+        else:
+            known = passing
         whole = np.maximum(np.maximum(passing, known) + kinds, 1)
         self.rest = ((whole - known) / whole).astype(np.float32)
         self.ends = (ending / whole).astype(np.float32)
@@ -316,10 +381,13 @@ class WordTree:
 class Scorer:
     """Ids -> log probability: the model with its maps from ids to embedding rows, classes and probabilities within a class."""
 
-    def __init__(self, counts: np.ndarray, sample: list[np.ndarray], starts_word: np.ndarray, tree: WordTree):
+    def __init__(self, counts: np.ndarray, sample: list[np.ndarray], starts_word: np.ndarray, tree: WordTree, beside: tuple[np.ndarray, np.ndarray] | None = None):
+        """``beside``: cells of ``neighbours`` and their counts in the whole corpus; without it, those in the sample."""
         self.starts, self.tree = starts_word, tree
         order = np.argsort(-counts, kind="stable")
-        cls = self._classes(counts, order, sample, starts_word)
+        if beside is None and sample:
+            beside = neighbours(np.concatenate(sample), self.marks(counts))
+        cls = self._classes(counts, beside, starts_word)
         within = np.bincount(cls, counts + ALPHA)
         self.cls, self.inner = cls, (counts + ALPHA) / within[cls]
         own = order[: min(EMBEDDED, int((counts > 0).sum()))]
@@ -332,45 +400,51 @@ class Scorer:
         self.sums = np.stack((np.ones(classes, np.float32), begins), axis=1)
         self.net = Attention(len(own) + classes, classes, rates / rates.sum())
         if sample:
-            tokens, targets, _, _ = layout(np.concatenate([t[1:] for t in sample]), np.array([len(t) - 1 for t in sample]))
-            tokens, targets = self._rows(tokens), np.where(targets < 0, -1, cls[targets])
-            windows, targets = np.concatenate((tokens[:-1], tokens[1:]), axis=1), targets[1:]
-            some = (targets >= 0).any(axis=1)
-            self.losses = self.net.train(windows[some], targets[some])
+            self.losses = self.net.train(*self.windows(np.concatenate([t[1:] for t in sample]), np.array([len(t) - 1 for t in sample])))
+
+    def windows(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embedding rows and target classes of all windows that have targets."""
+        tokens, targets, _, _ = layout(ids, lengths)
+        tokens, targets = self._rows(tokens), np.where(targets < 0, -1, self.cls[targets])
+        some = (targets[1:] >= 0).any(axis=1)
+        return np.concatenate((tokens[:-1], tokens[1:]), axis=1)[some], targets[1:][some]
 
     def _rows(self, tokens: np.ndarray) -> np.ndarray:
         return np.where(tokens < 0, -1, self.row[tokens])
 
     @staticmethod
-    def _classes(counts: np.ndarray, order: np.ndarray, sample: list[np.ndarray], starts_word: np.ndarray) -> np.ndarray:
-        """Class of each id: the most frequent and END alone; others by k-means on what stands beside them in the sample; the unseen in two classes."""
+    def marks(counts: np.ndarray) -> np.ndarray:
+        """Number of each id with a class of its own (END and the most frequent), and OWN_CLASS for all others."""
+        order = np.argsort(-counts, kind="stable")
         top = [END, *[i for i in order[: OWN_CLASS + 1].tolist() if i != END and counts[i] > 0][: OWN_CLASS - 1]]
-        cls = np.full(VOCABULARY, -1)
-        cls[top] = np.arange(len(top))
-        base = len(top)
-        cls[cls < 0] = base + starts_word[cls < 0].astype(int)
-        if not sample:
+        mark = np.full(VOCABULARY, OWN_CLASS)
+        mark[top] = np.arange(len(top))
+        return mark
+
+    @staticmethod
+    def _classes(counts: np.ndarray, beside: tuple[np.ndarray, np.ndarray] | None, starts_word: np.ndarray) -> np.ndarray:
+        """Class of each id: the most frequent and END alone; others by k-means on what stands beside them; the unseen in two classes."""
+        mark = Scorer.marks(counts)
+        base = int((mark < OWN_CLASS).sum())
+        cls = np.where(mark < OWN_CLASS, mark, base + starts_word)
+        if beside is None:
             return cls
-        flat = np.concatenate(sample)
-        mark = np.where(cls < base, cls, base)
-        seen = np.unique(flat[mark[flat] == base])
+        cells, n = beside
+        width = 2 * (OWN_CLASS + 1)
+        seen, row = np.unique(cells // width, return_inverse=True)
         if len(seen) < 2 * SHARED_CLASSES:
             return cls
-        place = np.full(VOCABULARY, -1)
-        place[seen] = np.arange(len(seen))
-        profile = np.zeros((len(seen), 2 * (base + 1)), np.float32)
-        for a, b, shift in ((flat[1:], flat[:-1], 0), (flat[:-1], flat[1:], base + 1)):
-            use = place[a] >= 0
-            np.add.at(profile, (place[a[use]], mark[b[use]] + shift), 1)
+        profile = np.zeros((len(seen), width), np.float32)
+        profile[row, cells % width] = n
         weight = profile.sum(axis=1, keepdims=True)
         profile = np.sqrt(profile / np.maximum(weight, 1))
         profile = profile + np.sqrt(profile.mean(axis=0, keepdims=True)) / np.sqrt(weight + 1)  # rare ones towards the mean
-        _, _, vt = np.linalg.svd(profile - profile.mean(axis=0), full_matrices=False)
-        x = (profile - profile.mean(axis=0)) @ vt[:16].T
+        profile -= profile.mean(axis=0)
+        x = profile @ np.linalg.eigh(profile.T @ profile)[1][:, :-17:-1]
         g = np.random.default_rng(3)
         centres = x[np.argsort(-counts[seen], kind="stable")[:SHARED_CLASSES]] + g.standard_normal((SHARED_CLASSES, x.shape[1])).astype(np.float32) * 1e-3
         for _ in range(12):
-            near = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            near = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
             for c in range(SHARED_CLASSES):
                 if (near == c).any():
                     centres[c] = x[near == c].mean(axis=0)
@@ -391,34 +465,38 @@ class Scorer:
         return self.score_numbered(list(number), which, counts, cut)
 
     def score_numbered(self, distinct: list[bytes], which: np.ndarray, counts: np.ndarray, cut) -> np.ndarray:
-        ids = np.append(cut(distinct), END)
+        return self.score_apart(np.append(cut(distinct), END), which, counts, np.zeros(len(distinct), bool))[0]
+
+    def score_apart(self, ids: np.ndarray, which: np.ndarray, counts: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids: of the distinct words, then END. (scores, numbers, places): the scores lack the tree's part at the words
+        ``apart``; a word of m ids at place i has it from numbers[i + 1 : i + m + 1], see ``tree_part``."""
         first = np.flatnonzero(self.starts[ids])  # of each distinct word, and of the END after them
         x, y = self.tree.evidence(ids, self.starts, np.zeros(1, np.int64))
         size = np.diff(first)
-        # each word's ids, with one place more after a text's last word for END
-        long = size[which] if len(which) else np.zeros(0, np.int64)
-        ends = np.cumsum(counts)
-        text = np.repeat(np.arange(len(counts)), counts)
-        begin = np.cumsum(long) - long + text  # of each word among all ids
-        total = int(long.sum()) + len(counts)
-        targets, a, b = np.full(total, END), np.zeros(total, np.float32), np.ones(total, np.float32)
-        place = np.repeat(begin, long) + (inner := np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long))
-        source = np.repeat(first[which], long) + inner
-        targets[place], a[place], b[place] = ids[source], x[source], y[source]
-        after, then = begin + long, first[which + 1]  # a word's end is told at the id after it
+        if apart.any():
+            own = np.repeat(apart, size)  # an id's evidence tells of its own word, but where it begins a word of the one before
+            own = np.where(self.starts[ids], np.append(False, own), np.append(own, False))
+            x[own], y[own] = 1, 0
+        targets, place, source, begin, lengths = spell(ids, first, which, counts)
+        a, b = np.zeros(len(targets), np.float32), np.ones(len(targets), np.float32)
+        a[place], b[place] = x[source], y[source]
+        after, then = begin + size[which], first[which + 1]  # a word's end is told at the id after it
         a[after], b[after] = x[then], y[then]
-        sums = np.concatenate(([0], np.cumsum(long)))
-        lengths = sums[ends] - sums[ends - counts] + 1
         starts = np.cumsum(lengths) - lengths
         a[starts], b[starts] = 1, 0
-        return self.score_flat(targets, lengths, a, b)
+        return *self.score_numbers(targets, lengths, a, b), begin
 
     def score_flat(self, ids: np.ndarray, lengths: np.ndarray, evidence_a: np.ndarray, evidence_b: np.ndarray) -> np.ndarray:
+        return self.score_numbers(ids, lengths, evidence_a, evidence_b)[0]
+
+    def score_numbers(self, ids: np.ndarray, lengths: np.ndarray, evidence_a: np.ndarray, evidence_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and of each id the model's number that is mixed with the tree's: that a word begins, else the id's own."""
         tokens, targets, owner, place = layout(ids, lengths)
         a, b = np.zeros(targets.size, np.float32), np.ones(targets.size, np.float32)
         a[place], b[place] = evidence_a, evidence_b
         a, b = a.reshape(targets.shape), b.reshape(targets.shape)
         rows, out = self._rows(tokens), np.zeros(len(tokens))
+        numbers = np.zeros(targets.shape, np.float32)
         for i in range(0, len(tokens) - 1, AT_ONCE):
             j = min(i + AT_ONCE, len(tokens) - 1)
             want = targets[i + 1 : j + 1].ravel()
@@ -428,10 +506,36 @@ class Scorer:
             own = p[np.arange(len(want)), self.cls[want]] / total[:, 0] * self.inner[want]
             begin = np.maximum(total[:, 1] / total[:, 0], 1e-20)
             x, y = a[i + 1 : j + 1].ravel(), b[i + 1 : j + 1].ravel()
-            each = np.where(self.starts[want], (x + y * begin) * own / begin, x + y * own)
+            new = self.starts[want]
+            number = np.where(new, begin, own)
+            numbers[i + 1 : j + 1] = number.reshape(-1, STRIDE)
+            each = (x + y * number) * np.where(new, own / begin, 1)
             each[want < 0] = 1
             out[i + 1 : j + 1] = np.log10(np.maximum(each, 1e-300)).reshape(-1, STRIDE).sum(axis=1)
-        return np.bincount(owner, out, len(lengths))
+        return np.bincount(owner, out, len(lengths)), numbers.ravel()[place]
+
+
+def spell(ids: np.ndarray, first: np.ndarray, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Texts given by their words' numbers and how many words each has, as ids with END after each text: (ids, place and
+    source of each word's ids, where each word begins, ids of each text)."""
+    long = np.diff(first)[which] if len(which) else np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    begin = np.cumsum(long) - long + np.repeat(np.arange(len(counts)), counts)
+    inner = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+    targets = np.full(int(long.sum()) + len(counts), END)
+    place, source = np.repeat(begin, long) + inner, np.repeat(first[which], long) + inner
+    targets[place] = ids[source]
+    sums = np.concatenate(([0], np.cumsum(long)))
+    return targets, place, source, begin, sums[ends] - sums[ends - counts] + 1
+
+
+def tree_part(numbers: np.ndarray, size: int, passing: np.ndarray, ending: np.ndarray, kinds: np.ndarray) -> float:
+    """log10 of the tree's part of a word's occurrences: ``numbers`` holds ``size`` of each; nodes that are not in the
+    tree have passing 0. The same as WordTree.weigh and evidence give."""
+    whole = np.maximum(passing + kinds, 1)
+    b = np.where(passing > 0, kinds / whole, 1)
+    a = np.append(passing[1:], ending[-1]) / whole * (passing > 0)
+    return float(np.log10(np.maximum(a + b * numbers.reshape(-1, size), 1e-300)).sum())
 
 
 # --- the operator -----------------------------------------------------------------------------------------------
@@ -464,55 +568,205 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(text).mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def count_subwords(words: DataFrame, tree: WordTree, ranks_path: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of each id, and those that pass and end at each node of the tree, from all counted words in one pass."""
+def count_nodes(words: DataFrame, ranks_path: str | None) -> tuple[DataFrame, str]:
+    """The tree of all counted words, written: (key, parent, id, passing, ending, kinds) of each node. ``kinds`` is how many
+    ids, or the end, follow it."""
     small_batches(words.sparkSession)
-    shared = words.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
-        own, cut, starts = shared.value, cutter(ranks_path), word_starts(ranks_path)
-        ids_total, node_total = np.zeros(VOCABULARY), np.zeros((2, own.nodes))
+        cut, starts = cutter(ranks_path), word_starts(ranks_path)
         for b in batches:
+            if not b.num_rows:
+                continue
             ids, c = cut(b.column(0).to_pylist()), b.column(1).to_numpy()
-            ids_total += np.bincount(ids, c[np.cumsum(starts[ids]) - 1], VOCABULARY)
-            node_total += own.tally(ids, starts, c)
-        # nodes are told after the ids
-        first = np.concatenate((ids_total, node_total[0]))
-        second = np.concatenate((np.zeros(VOCABULARY), node_total[1]))
-        some = np.flatnonzero(first)
-        yield pa.record_batch([pa.array(some), pa.array(first[some].astype(np.int64)), pa.array(second[some].astype(np.int64))], names=["cell", "p", "e"])
-
-    # at most as many rows as there are ids and nodes
-    got = words.select("w", "c").mapInArrow(run, "cell long, p long, e long").groupBy("cell").agg(F.sum("p").alias("p"), F.sum("e").alias("e")).toPandas()
-    out = np.zeros((2, VOCABULARY + tree.nodes))
-    out[0, got["cell"]], out[1, got["cell"]] = got["p"], got["e"]
+            keys, first, size = node_keys(ids, starts)
+            parent = np.append(0, keys[:-1])
+            parent[first] = 0
+            ends = np.zeros(len(ids), np.int64)
+            ends[first + size - 1] = c
+            yield pa.record_batch([pa.array(x) for x in (keys, parent, ids, np.repeat(c, size), ends)], names=["key", "parent", "id", "passing", "ending"])
+
+    each = words.select("w", "c").mapInArrow(run, "key long, parent long, id long, passing long, ending long")
+    plain = each.groupBy("key").agg(F.min("parent").alias("parent"), F.min("id").alias("id"), F.sum("passing").alias("passing"), F.sum("ending").alias("ending"))
+    plain, path = materialise(plain, "nodes-plain")
+    below = plain.where("parent <> 0").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("below"))
+    nodes = plain.join(below, "key", "left").withColumn("kinds", F.coalesce("below", F.lit(0)) + (F.col("ending") > 0).cast("long")).drop("below")
+    nodes, nodes_path = materialise(nodes, "nodes")
+    release(words.sparkSession, path)
+    return nodes, nodes_path
+
+
+def head_nodes(nodes: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """(passing, ending, kinds) of the nodes with these keys, which are the broadcast part of the tree."""
+    order = np.argsort(keys)
+    shared = nodes.sparkSession.sparkContext.broadcast(keys[order])
+
+    def run(batches):
+        for b in batches:
+            k = b.column(0).to_numpy()
+            i = np.minimum(np.searchsorted(shared.value, k), len(shared.value) - 1)
+            hit = np.flatnonzero(shared.value[i] == k)
+            if len(hit):
+                yield pa.record_batch([pa.array(i[hit]), *(b.column(j).take(pa.array(hit)) for j in (1, 2, 3))], names=["at", "passing", "ending", "kinds"])
+
+    out = np.zeros((3, len(keys)))
+    if len(keys):
+        got = nodes.select("key", "passing", "ending", "kinds").mapInArrow(run, "at long, passing long, ending long, kinds long").toPandas()
+        out[:, order[got["at"]]] = got[["passing", "ending", "kinds"]].to_numpy().T
     shared.unpersist()
-    return out[0, :VOCABULARY], out[:, VOCABULARY:]
+    return out
+
+
+def write_ids(train: DataFrame, key: str, text: str, ranks_path: str | None) -> tuple[DataFrame, str]:
+    """(h, ids) of all training rows, written: a hash to deal rows by, and the text's ids with END as 16-bit numbers."""
+
+    def start():
+        return cutter(ranks_path), word_starts(ranks_path)
+
+    def run(state, b: pa.RecordBatch) -> pa.RecordBatch:
+        cut, starts = state
+        texts = [t.lower().split() for t in text_bytes(b.column(1))]
+        words = list(chain.from_iterable(texts))
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        ids = np.append(cut(list(number)), END)
+        targets, _, _, _, lengths = spell(ids, np.flatnonzero(starts[ids]), which, np.array([len(t) for t in texts]))
+        ends = np.cumsum(lengths)
+        flat = targets.astype("<u2")
+        return pa.record_batch([b.column(0), pa.array([flat[j - n : j].tobytes() for j, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary())], names=["h", "ids"])
+
+    return materialise(by_batch(train.select(F.xxhash64(F.lit("ids"), key, text).alias("h"), text), run, "h long, ids binary", start=start), "ids")
+
+
+def read_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of texts, and how many each has."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.array([len(r) // 2 for r in raw])
+
+
+def count_neighbours(ids: DataFrame, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``neighbours`` over all training rows. There are at most as many cells as ids times twice the marks."""
+    small_batches(ids.sparkSession)
+
+    def run(batches):
+        total = np.zeros(VOCABULARY * 2 * (OWN_CLASS + 1), np.int32)
+        for b in batches:
+            if b.num_rows:
+                cells, n = neighbours(np.append(END, read_ids(b.column(0))[0]), mark)
+                total[cells] += n.astype(np.int32)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
+
+    got = ids.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
+    return got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def refine(scorer: Scorer, ids: DataFrame, rows: int) -> int:
+    """Fits the weights on every window of all training rows: each task goes over its rows from the shared weights, and
+    the tasks' weights are averaged, an embedding by its occurrences and the others by targets. Returns the targets used."""
+    spark = ids.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        own = shared.value
+        adam, g = Adam(own.net), np.random.default_rng(13)
+        seen, used = np.zeros(len(own.net.w["e"])), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tokens, targets = own.windows(*read_ids(b.column(1)))
+            order = g.permutation(len(tokens))
+            for i in range(0, len(order), BATCH):
+                pick = order[i : i + BATCH]
+                adam.step(tokens[pick], targets[pick], 2e-3 * min(1, (adam.t + 1) / 20) / (1 + adam.t / 200) ** 0.5)
+            seen += np.bincount(tokens[tokens >= 0], minlength=len(seen))
+            used += int((targets >= 0).sum())
+        if used:
+            for name, w in own.net.w.items():
+                n = seen if name == "e" else np.full(1, float(used))
+                sums = w.astype(np.float64) * (n[:, None] if name == "e" else n)
+                yield pa.record_batch([pa.array([name]), pa.array([sums.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["name", "sums", "n"])
+
+    def add(batches):
+        total: dict[str, list[np.ndarray]] = {}
+        for b in batches:
+            for name, *parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts = [np.frombuffer(x, np.float64) for x in parts]
+                total[name] = [x + y for x, y in zip(total[name], parts, strict=True)] if name in total else parts
+        for name, (x, n) in total.items():
+            yield pa.record_batch([pa.array([name]), pa.array([x.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["name", "sums", "n"])
+
+    kind = "name string, sums binary, n binary"
+    dealt = ids.repartition(-(-rows // TASK_ROWS) or 1, "h").sortWithinPartitions("h", "ids")
+    used = 0
+    for r in dealt.mapInArrow(run, kind).repartition("name").mapInArrow(add, kind).collect():
+        w, n = scorer.net.w[r["name"]], np.frombuffer(r["n"])
+        mean = np.frombuffer(r["sums"]).reshape(w.shape)
+        if r["name"] == "e":
+            w[n > 0] = mean[n > 0] / n[n > 0, None]
+        else:
+            w[...], used = mean / n, int(n[0])
+    scorer.net.tables = None
+    shared.unpersist()
+    return used
 
 
 def sequence(words: list[bytes], cut) -> np.ndarray:
     return np.concatenate(([END], cut(words), [END]))
 
 
-def fit(train: DataFrame, words: DataFrame, head: dict[bytes, int], key: str, text: str, ends: int, ranks_path: str | None) -> Scorer:
-    """Weights from a bounded sample of rows, everything else from counts over all training rows."""
+def fit(train: DataFrame, nodes: DataFrame, head: dict[bytes, int], key: str, text: str, ends: int, ranks_path: str | None) -> Scorer:
+    """The model of all training rows."""
+    spark = train.sparkSession
     ordered = sorted(head)
     cut, starts = cutter(ranks_path), word_starts(ranks_path)
     ids = cut(ordered)
     tree = WordTree(np.split(ids, np.flatnonzero(starts[ids])[1:]) if len(ids) else [])
-    counts, nodes = count_subwords(words, tree, ranks_path)
+    place = tree.places(ids, starts)
+    keys = np.zeros(tree.nodes, np.int64)
+    keys[place] = node_keys(ids, starts)[0]
+    values = np.zeros((3, tree.nodes))
+    values[:, 1:] = head_nodes(nodes, keys[1:])
+    tree.weigh(*values)
+    counts = np.zeros(VOCABULARY)
+    for r in nodes.groupBy("id").agg(F.sum("passing").alias("n")).collect():
+        counts[r["id"]] = r["n"]
     counts[END] = ends
-    tree.weigh(*nodes)
-    draw = F.pmod(F.xxhash64(F.lit("lm"), key, F.col(text)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / max(ends, 1)))
-    rows = train.where(draw).select(key, text).collect()
+    if not ends:
+        return Scorer(counts, [], starts, tree)
+    written, path = write_ids(train, key, text, ranks_path)
+    beside = count_neighbours(written, Scorer.marks(counts))
+    draw = F.pmod(F.xxhash64(F.lit("lm"), "h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / ends))
     sample: list[np.ndarray] = []
     n = 0
-    for r in sorted(rows, key=lambda r: (str(r[0]), r[1] or "")):
+    for r in sorted(written.where(draw).collect()):
         if n > SAMPLE_TOKENS:
             break
-        sample.append(sequence((r[1] or "").encode().lower().split(), cut))
+        sample.append(np.append(END, np.frombuffer(r["ids"], "<u2").astype(np.int64)))
         n += len(sample[-1])
-    return Scorer(counts, sample, starts, tree)
+    scorer = Scorer(counts, sample, starts, tree, beside)
+    scorer.targets = refine(scorer, written, ends)
+    release(spark, path)
+    return scorer
+
+
+def look_up(rare: DataFrame, nodes: DataFrame, ranks_path: str | None) -> DataFrame:
+    """(k, nodes) of each word of ``rare`` (w, k): passing, ending and kinds of the nodes on its path, zero where there is none."""
+
+    def start():
+        return cutter(ranks_path), word_starts(ranks_path)
+
+    def run(state, b: pa.RecordBatch) -> pa.RecordBatch:
+        cut, starts = state
+        keys, first, size = node_keys(cut(b.column(0).to_pylist()), starts)
+        inner = np.arange(len(keys)) - np.repeat(first, size)
+        return pa.record_batch([pa.array(np.repeat(b.column(1).to_numpy(), size)), pa.array(inner.astype(np.int32)), pa.array(keys)], names=["k", "at", "key"])
+
+    steps = by_batch(rare.select("w", "k"), run, "k long, at int, key long", start=start)
+    value = [F.coalesce(c, F.lit(0)).alias(c) for c in ("passing", "ending", "kinds")]
+    found = steps.join(nodes.select("key", "passing", "ending", "kinds"), "key", "left").select("k", "at", *value)
+    return found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "passing", "ending", "kinds"))).alias("nodes"))
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
@@ -538,11 +792,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
             break
         least = r["c"]
     head = {} if least is None else {bytes(r["w"]): r["c"] for r in words.where(F.col("c") >= least).collect()}
-    scorer = fit(train, words, head, key, "_text", ends, ranks_path)
+    nodes, _ = count_nodes(words, ranks_path)
+    scorer = fit(train, nodes, head, key, "_text", ends, ranks_path)
     logs = {w: float(np.log10((c + ALPHA) / denominator)) for w, c in head.items()}
     shared = spark.sparkContext.broadcast((scorer, logs))
     end_log = float(np.log10((ends + ALPHA) / denominator))
-    tail_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
+    tail_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64()), ("p", pa.list_(pa.float32()))]))
 
     def start():
         model, known = shared.value
@@ -557,15 +812,27 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
             number = {w: i for i, w in enumerate(dict.fromkeys(words))}
             which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             distinct, sizes = list(number), np.array([len(t) for t in texts])
-            scores.extend(model.score_numbered(distinct, which, sizes, cut).tolist())
-            logs = np.array([known.get(w, np.nan) for w in distinct])[which] if words else np.zeros(0)
-            rare, ends_at = np.isnan(logs), np.cumsum(sizes)
+            logs = np.array([known.get(w, np.nan) for w in distinct])
+            ids = np.append(cut(distinct), END)
+            score, numbers, begin = model.score_apart(ids, which, sizes, np.isnan(logs))
+            scores.extend(score.tolist())
+            logs = logs[which] if words else np.zeros(0)
+            rare = np.isnan(logs)
             text = np.repeat(np.arange(len(texts)), sizes)
             base.extend((end_log + np.bincount(text, np.where(rare, 0, logs), len(texts))).tolist())
             sure.extend((sizes - np.bincount(text, rare, len(texts)).astype(int) + (ends > 0)).tolist())
             count.extend((sizes + 1).tolist())
-            for i, j in zip((ends_at - sizes).tolist(), ends_at.tolist(), strict=True):
-                tails.append([{"w": distinct[k], "n": n} for k, n in Counter(which[i:j][rare[i:j]].tolist()).items()])
+            # a text's occurrences of a word together, each with the model's numbers at its ids after the first and after it
+            at = np.flatnonzero(rare)
+            at = at[np.lexsort((which[at], text[at]))]
+            new = np.flatnonzero(np.diff(text[at] * (len(distinct) + 1) + which[at], prepend=-1))
+            n = np.diff(np.append(new, len(at)))
+            long = np.diff(np.flatnonzero(model.starts[ids]))[which[at]] if len(at) else np.zeros(0, np.int64)
+            before = np.cumsum(long) - long
+            p = numbers[np.repeat(begin[at] + 1 - before, long) + np.arange(int(long.sum()))]
+            cuts = np.append(before[new], long.sum()).astype(np.int32)
+            told = pa.StructArray.from_arrays([pa.array([distinct[k] for k in which[at[new]].tolist()], pa.binary()), pa.array(n), pa.ListArray.from_arrays(pa.array(cuts), pa.array(p, pa.float32()))], fields=list(tail_type.value_type))
+            tails.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(text[at[new]], minlength=len(texts)))).astype(np.int32)), told).cast(tail_type))
 
         waiting: list[list[bytes]] = []
         size = 0
@@ -578,19 +845,35 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
         if waiting:
             finish(waiting)
         return pa.record_batch(
-            [*(batch.column(i) for i in range(3)), pa.array(count, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, tail_type)],
+            [*(batch.column(i) for i in range(3)), pa.array(count, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.concat_arrays(tails)],
             names=["_row", key, "held_out", "n_tokens", "sure", "base", "score", "tail"],
         )
 
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), key, "held_out", "_text")
     kind = dict(docs.dtypes)[key]
-    scored = by_batch(numbered, run, f"_row long, `{key}` {kind}, held_out boolean, n_tokens long, sure long, base double, score double, tail array<struct<w:binary,n:long>>", start=start)
+    scored = by_batch(numbered, run, f"_row long, `{key}` {kind}, held_out boolean, n_tokens long, sure long, base double, score double, tail array<struct<w:binary,n:long,p:array<float>>>", start=start)
     scored, _ = materialise(scored, "scored")
-    tail = scored.select("_row", F.explode("tail").alias("x")).select("_row", F.col("x.w").alias("w"), F.col("x.n").alias("n"))
-    told = tail.join(words, "w", "left").select("_row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = told.groupBy("_row").agg(F.sum(F.col("n") * F.log10((F.col("c") + ALPHA) / F.lit(denominator))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("hits"))
+    tail = scored.select("_row", F.explode("tail").alias("x")).select("_row", "x.w", "x.n", "x.p")
+    rare = tail.select("w").distinct().join(words, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c"), F.xxhash64("w").alias("k"))
+    rare, _ = materialise(rare, "rare")
+    known_words = rare.join(look_up(rare, nodes, ranks_path), "k").select("w", "c", "nodes")
+    told = tail.join(known_words, "w").select("_row", "n", "c", "p", "nodes.passing", "nodes.ending", "nodes.kinds")
+
+    def parts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.asarray(c.flatten()) for c in batch.columns[3:]]
+        off = [(c.offsets.to_numpy() - c.offsets[0].as_py()).tolist() for c in batch.columns[3:]]
+        out = []
+        for i in range(batch.num_rows):
+            q, *t = (x[o[i] : o[i + 1]] for x, o in zip(own, off, strict=True))
+            out.append(tree_part(q, len(t[0]), *t))
+        return pa.record_batch([*batch.columns[:3], pa.array(out, pa.float64())], names=["_row", "n", "c", "part"])
+
+    told = by_batch(told, parts, "_row long, n long, c long, part double")
+    sums = told.groupBy("_row").agg(
+        F.sum(F.col("n") * F.log10((F.col("c") + ALPHA) / F.lit(denominator))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("hits"), F.sum("part").alias("part")
+    )
     out = scored.drop("tail").join(sums, "_row", "left")
     return out.select(
         key, "held_out", "n_tokens", (F.col("sure") + F.coalesce("hits", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("part", F.lit(0.0))).alias("score"),
     )

@@ -125,6 +125,27 @@ def test_lm_base_is_exact(spark, docs, odd, monkeypatch):
             assert all(r.score < 0 and r.held_out == (k is not None and zlib.crc32(str(k).encode()) % 10 == 0) for r in got[k])
 
 
+def test_lm_scores_do_not_depend_on_the_broadcast_part(spark, docs, monkeypatch):
+    d = docs.select("doc_id", "text")
+    whole = {r.doc_id: r.score for r in lm.score_texts(d).collect()}
+    monkeypatch.setattr(lm, "HEAD", 500)  # most words reach their nodes by the shuffle
+    part = {r.doc_id: r.score for r in lm.score_texts(d).collect()}
+    assert part == pytest.approx(whole, rel=1e-4)
+
+
+def test_lm_is_fitted_on_all_training_rows(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_ROWS", 5)
+    monkeypatch.setattr(lm, "TASK_ROWS", 50)
+    made = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    d = docs.select("doc_id", "text")
+    lm.score_texts(d)
+    cut = lm.cutter()
+    train = [words_of(r.text) for r in d.collect() if zlib.crc32(str(r.doc_id).encode()) % 10]
+    assert made[0].targets == sum(len(cut([w.encode() for w in t])) + 1 for t in train)
+
+
 def test_lm_beats_unigram_held_out(spark):
     rows = [r for r in lm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     n = sum(r.n_tokens for r in rows)
