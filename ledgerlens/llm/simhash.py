@@ -187,6 +187,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest key, with all its columns."""
-    kept = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept"))
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+    """One document of each component, that with the smallest key, with all its columns. A null key comes after all others;
+    of rows with the same key in a component any one stays."""
+    rows, _ = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    fps, fps_path = materialise(fingerprints(rows, "_row", text), "simhash")
+    distinct, path = materialise(fps.select("fp").distinct(), "simhash-distinct")
+    nodes, paths = components(link_pairs(distinct))
+    kept = _first_rows(rows, fps.withColumnRenamed("fp", "node"), nodes, key)
+    release(docs.sparkSession, fps_path, path, *paths)
+    return kept
+
+
+def _first_rows(rows: DataFrame, of: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """rows: documents and ``_row``; of: ``_row`` and the node it stands at; nodes: node and root of the nodes with an edge."""
+    placed = of.join(nodes, "node", "left").select("_row", F.coalesce("root", "node").alias("root")).join(rows.select("_row", F.col(key).alias("_key")), "_row")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "_row")).alias("f")).select(F.col("f._row").alias("_row"))
+    first, _ = materialise(first, "first")
+    return rows.join(first, "_row", "left_semi").drop("_row")

@@ -286,6 +286,14 @@ def test_simhash_odd_rows(odd):
     assert got[1] == got[2] == got[3] == ("0" * 16, 1) and got[4] == got[5] and got[5][1] == 4
 
 
+def test_keep_first_keeps_a_row_of_each_component(spark):
+    g = random.Random(8)
+    texts = [" ".join(g.choices(["alpha", "beta", "gamma", "delta", "rho", "tau", "phi", "chi"], k=60)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (7, texts[2]), (7, texts[3])]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in kept} == {(None, texts[0]), (None, texts[1]), (1, texts[2]), (7, texts[3])} and len(kept) == 4
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     nodes, _ = common.components(spark.createDataFrame(edges, "a long, b long"))
