@@ -443,6 +443,15 @@ def test_embeddings_against_all_pairs(spark):
     assert embeddings.near_duplicates(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("pivots", [172, 800, 1723, 3713, 8000])
+def test_embeddings_recall_does_not_fall_with_pivots(pivots):
+    g = np.random.default_rng(pivots)
+    x, o, p = (embeddings.unit(g.standard_normal((n, 64))) for n in (1500, 1500, pivots))
+    o = embeddings.unit(o - (o * x).sum(axis=1)[:, None] * x)
+    near = [embeddings.nearest_pivots(v, p, embeddings.nearest_of(pivots)) for v in (x, 0.951 * x + np.sqrt(1 - 0.951**2) * o)]
+    assert ((near[0][:, :, None] == near[1][:, None]).any(axis=2).sum(axis=1) >= embeddings.SHARED).mean() > 0.95
+
+
 def test_embeddings_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 7)
     g = np.random.default_rng(6)
