@@ -63,8 +63,8 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, metric: str = "l2", ke
 
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    # BLAS finds a few candidates more than k; their distances are then worked out from differences
-    spare = 8
+    # BLAS finds all candidates whose rounded distance can be among the k least; distances are then worked out from differences
+    slack = 2e-6
 
     def against(shared):
         def run(batches):
@@ -77,11 +77,23 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, metric: str = "l2", ke
                 if metric == "cosine":
                     near = -near / np.maximum(np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)), 1e-300)
                 else:
-                    near = (v * v).sum(axis=1)[None] - 2 * near
-                n = min(len(v), k + spare)
-                pick = np.argpartition(near, n - 1, axis=1)[:, :n]
-                exact = np.take_along_axis(near, pick, 1) if metric == "cosine" else np.sqrt(((v[pick] - q[:, None]) ** 2).sum(axis=2))
-                yield pa.record_batch([pa.array(np.repeat(qid, n)), pa.array(keys[pick].ravel()), pa.array(exact.ravel())], names=["qid", key, "d"])
+                    near = (v * v).sum(axis=1)[None] - 2 * near + (q * q).sum(axis=1)[:, None]
+                n = min(len(v), k)
+                last = np.partition(near, n - 1, axis=1)[:, n - 1 : n]
+                if metric == "cosine":
+                    most = last + slack
+                else:
+                    error = 1e-12 * ((v * v).sum(axis=1).max() + (q * q).sum(axis=1)[:, None])
+                    most = (np.sqrt(np.maximum(last, 0) + error) + slack) ** 2 + error
+                i, j = np.nonzero(near <= most)
+                exact = near[i, j] if metric == "cosine" else np.concatenate([np.sqrt(((v[j[s : s + block]] - q[i[s : s + block]]) ** 2).sum(axis=1)) for s in range(0, len(i), block)])
+                # of equal distances the k least keys are enough
+                order = np.lexsort((keys[j], exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                new = np.append(True, (i[1:] != i[:-1]) | (exact[1:] != exact[:-1]))
+                at = np.arange(len(i))
+                few = at - np.maximum.accumulate(np.where(new, at, 0)) < k
+                yield pa.record_batch([pa.array(qid[i[few]]), pa.array(keys[j[few]]), pa.array(exact[few])], names=["qid", key, "d"])
 
         return run
 

@@ -166,3 +166,14 @@ def test_streams(spark, tmp_path):
     assert {r.answer for r in spark.read.json(str(tmp_path / "out")).collect()} == {"A", "B"}
     e = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 5), "x"), (datetime.datetime(2024, 1, 1, 7), "x")], "ts timestamp_ntz, event_type string")
     assert [r.n for r in I.event_windows(e).collect()] == [2]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_nearest_ties_go_by_key(spark, metric):
+    from ledgerlens.operators.retrieval import nearest
+
+    copies = [(1000 - i, [1.0, 2.0, 2.0]) for i in range(400)]
+    rows = spark.createDataFrame([*copies, (5000, [9.0, -1.0, 0.0])], "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 2.0, 2.5]), (2, [1.0, 2.0, 2.0])], "qid long, q array<double>")
+    got = sorted((r.qid, r["rank"], r.vec_id) for r in nearest(rows, asked, 5, metric).collect())
+    assert got == [(q, i + 1, 601 + i) for q in (1, 2) for i in range(5)]
