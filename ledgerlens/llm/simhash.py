@@ -193,12 +193,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     fps, fps_path = materialise(fingerprints(rows, "_row", text), "simhash")
     distinct, path = materialise(fps.select("fp").distinct(), "simhash-distinct")
     nodes, paths = components(link_pairs(distinct))
-    kept = _first_rows(rows, fps.withColumnRenamed("fp", "node"), nodes, key)
+    kept = first_rows(rows, fps.withColumnRenamed("fp", "node"), nodes, key)
     release(docs.sparkSession, fps_path, path, *paths)
     return kept
 
 
-def _first_rows(rows: DataFrame, of: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+def first_rows(rows: DataFrame, of: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """rows: documents and ``_row``; of: ``_row`` and the node it stands at; nodes: node and root of the nodes with an edge."""
     placed = of.join(nodes, "node", "left").select("_row", F.coalesce("root", "node").alias("root")).join(rows.select("_row", F.col(key).alias("_key")), "_row")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "_row")).alias("f")).select(F.col("f._row").alias("_row"))

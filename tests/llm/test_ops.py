@@ -15,7 +15,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlens.llm import common, embeddings, html, langid, lm, mixing, mjpeg, packing, pii, simhash, urls
+from ledgerlens.llm import common, embeddings, html, langid, lm, mixing, mjpeg, overlap, packing, pii, simhash, urls
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, start string"
@@ -286,6 +286,24 @@ def test_simhash_odd_rows(odd):
     assert got[1] == got[2] == got[3] == ("0" * 16, 1) and got[4] == got[5] and got[5][1] == 4
 
 
+def test_overlap_against_all_pairs(spark, docs, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 3)
+    g = random.Random(3)
+    base = [f"w{g.randrange(900)}" for _ in range(300)]
+    near = [" ".join(w if g.random() > rate else f"x{g.randrange(900)}" for w in base) for rate in (0.005, 0.01, 0.02, 0.03, 0.05) for _ in range(6)]
+    rows = sorted([tuple(r) for r in docs.select("doc_id", "text").collect()] + [(10_000 + i, t) for i, t in enumerate(near)] + [(20_000, ""), (20_001, None)])
+    sets = []
+    for _, t in rows:
+        w = words_of(t)
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)})
+    alike = [(i, j) for i, j in combinations(range(len(rows)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = reach(len(rows), alike)
+    kept = overlap.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({rows[r][0] for r in root})
+    fingerprints = [plain_simhash(t) for _, t in rows]
+    assert sum((fingerprints[i] ^ fingerprints[j]).bit_count() > 3 for i, j in alike) > 10  # what SimHash's 3 bits miss
+
+
 def test_keep_first_keeps_a_row_of_each_component(spark):
     g = random.Random(8)
     texts = [" ".join(g.choices(["alpha", "beta", "gamma", "delta", "rho", "tau", "phi", "chi"], k=60)) for _ in range(4)]
