@@ -1,19 +1,19 @@
 """Language-model scores: a small causal self-attention model over public subword ids, trained in numpy.
 
-Counts come from the whole training corpus: words are counted everywhere, distinct words are cut into subwords once, and
-the subword counts give each token's probability within its class. The attention model (one head, relative positions,
-a hidden layer) predicts the class; its weights start from a small sample and are then fitted on every window of every
-training row, in tasks whose weights are averaged. Frequent subwords are classes of their own, the others share classes
-found by clustering their neighbours in all training rows. Within a word, the prediction is interpolated with the
-subword tree of all the corpus's words (Witten-Bell weights), whose share of words that end at a node is set against the
-model's probability that a new word begins. The tree is a table of nodes; the nodes of frequent words are also
-broadcast, and what the model says of other words travels to their nodes by a shuffle, so the size of the broadcast
-part has no effect on the scores. The whole is a proper distribution over
-sequences of ids. Texts are scored in overlapping windows, batched over documents: each window sees WINDOW tokens,
-masked causally, and scores the last STRIDE of them, so each token is scored once.
-
-Beside it stands the smoothed word unigram. Its frequent words are looked up in a broadcast table of at most HEAD
-words; all others travel to their counts by a shuffle, so no vocabulary has to fit anywhere.
+A text's tokens are its words and one end. The model reads each word as its first and its last subword id and predicts,
+by causal self-attention over the words before (one head, relative positions, a hidden layer, a softmax in two levels),
+the first subword of the next word, or the end; so each token is scored once. The further subwords of a word follow the
+subword tree of all the corpus's words, with Witten-Bell weights towards what follows a subword in all words. The whole is
+a proper distribution over sequences of ids.
+
+Everything but the start of the weights comes from all training rows: word and subword counts, the tree, the classes of
+first subwords and the subwords' vectors (both from what stands beside them), and the weights, which start from a small
+sample and are then fitted on every window of every training row, in tasks whose weights are averaged.
+
+Texts are scored in overlapping windows, batched over documents: each window sees WINDOW tokens, masked causally, and
+scores the last STRIDE of them. What depends on a word alone (its smoothed unigram, its place in the tree) is looked up:
+frequent words in a broadcast table of at most HEAD words, all others by a shuffle, so no vocabulary has to fit
+anywhere and HEAD has no effect on the scores.
 """
 
 from __future__ import annotations
@@ -25,25 +25,30 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import by_batch, materialise, release, small_batches, text_bytes
 
-HEAD = 1 << 17  # words of the broadcast table and of the broadcast part of the subword tree at most
-SAMPLE_ROWS = 400  # training rows the weights start from, in expectation; all rows follow
-SAMPLE_TOKENS = 400_000  # of them, subwords used for the start
-TASK_ROWS = 8000  # training rows of a fitting task, about
+HEAD = 1 << 17  # words of the broadcast table at most
+START_WORDS = 200_000  # words, in expectation, of the training rows that the weights start from; all rows follow
 VOCABULARY, END = 50_257, 50_256  # ids of byte_bpe_50k; the last one ends a text
+NONE = 0xFFFF  # in place of the last subword of a word of one
 WINDOW, STRIDE = 32, 16
-WIDTH, HIDDEN = 24, 32
-OWN_CLASS, SHARED_CLASSES = 128, 24
-EMBEDDED = 4096  # subwords with an embedding of their own
-STEPS, BATCH = 500, 128
+WIDTH_FIRST, WIDTH_LAST, HIDDEN = 16, 8, 32
+WIDTH = WIDTH_FIRST + WIDTH_LAST
+OWN_CLASS, SHARED_CLASSES, SLOTS = 256, 32, 17  # classes of one subword, of several; classes of a group of the softmax
+EMBEDDED = 4096  # subwords with a vector of their own; others share one
+MARKS = 128  # subwords that are told apart as neighbours
+STEPS, BATCH = 400, 128
+BACKGROUND = 0.02  # weight of the classes' plain rates beside the model's
 ALPHA = 0.1
 FLUSH = 200_000  # distinct words that a counting task holds before it emits them
-AT_ONCE = 128  # chunks that are in one pass, small enough for the processor's cache
-GROUP_BYTES = 2 << 20  # of texts that are scored together, about
+AT_ONCE = 256  # chunks that are in one pass, small enough for the processor's cache
+GROUP_BYTES = 2 << 20  # of texts that are cut together, about
+GROUP_WORDS = 400_000  # of texts that are scored together, about
+ONE_PIECE = 1 << 16  # bytes from which a word is one piece for the subword merges, whatever it holds
 
 
 @lru_cache(maxsize=2)
@@ -73,20 +78,42 @@ def cutter(ranks_path: str | None = None):
     enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary(ranks_path), special_tokens={})
     starts = word_starts(ranks_path)
 
-    def cut(words: list[bytes]) -> np.ndarray:
+    def piece(word: bytes) -> np.ndarray:
+        return np.array(enc._core_bpe.encode_single_piece(b" " + word), np.int64)
+
+    def plain(words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.int64)
         ids = enc.encode_to_numpy((b" " + b" ".join(words)).decode("utf-8", "replace"), disallowed_special=()).astype(np.int64)
         if starts[ids].sum() == len(words):
             return ids
         if len(words) == 1:  # Unicode spaces at a word's edge can shift a cut
-            return np.array(enc._core_bpe.encode_single_piece(b" " + words[0]), np.int64)
+            return piece(words[0])
         half = len(words) // 2
-        return np.concatenate((cut(words[:half]), cut(words[half:])))
+        return np.concatenate((plain(words[:half]), plain(words[half:])))
+
+    def cut(words: list[bytes]) -> np.ndarray:
+        long = [i for i, w in enumerate(words) if len(w) >= ONE_PIECE]  # the pattern's matcher fails on very long runs
+        if not long:
+            return plain(words)
+        out, at = [], 0
+        for i in long:
+            out += [plain(words[at:i]), piece(words[i])]
+            at = i + 1
+        return np.concatenate([*out, plain(words[at:])])
 
     return cut
 
 
+def word_ends(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) id of words whose ids stand one after the other; ``last`` is NONE for a word of one id."""
+    if not len(ids):
+        return ids, ids
+    at = np.flatnonzero(starts[ids])
+    end = np.append(at[1:], len(ids)) - 1
+    return ids[at], np.where(end > at, ids[end], NONE)
+
+
 @lru_cache(maxsize=1)
 def _marks() -> np.ndarray:
     return np.random.default_rng(5).integers(0, 1 << 64, VOCABULARY, np.uint64) | np.uint64(1)
@@ -111,143 +138,131 @@ def node_keys(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 # --- the model --------------------------------------------------------------------------------------------------
 
 
-def layout(targets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts one after the other (ids and END each) in chunks of STRIDE, each text after one empty chunk: inputs and
-    targets (chunks, STRIDE) with -1 for none, text of each chunk, and where each id went.
+class Attention:
+    """Weights and passes over chunks of STRIDE places. Inputs are vectors of the tokens before, targets are classes.
 
-    A chunk and the one before it are a window; the window of a text's empty chunk has no targets.
+    A chunk and the one before it are a window. Chunk 0 of a pass is only looked at; each text's first chunk is empty.
+    Classes are predicted in two levels: the group, and the place within it.
     """
-    chunks = 1 - (-lengths // STRIDE)
-    at = np.concatenate(([0], np.cumsum(chunks)))
-    ends = np.cumsum(lengths)
-    place = np.repeat((at[:-1] + 1) * STRIDE - (ends - lengths), lengths) + np.arange(len(targets))
-    put, tokens = np.full(at[-1] * STRIDE, -1, np.int64), np.full(at[-1] * STRIDE, -1, np.int64)
-    put[place] = targets
-    tokens[place[1:]] = targets[:-1]
-    tokens[(at[:-1] + 1) * STRIDE] = END
-    return tokens.reshape(-1, STRIDE), put.reshape(-1, STRIDE), np.repeat(np.arange(len(lengths)), chunks), place
 
-
-class Attention:
-    """Weights and passes. Tokens are embedding rows here, targets are classes."""
-
-    def __init__(self, rows: int, classes: int, rates: np.ndarray, seed: int = 7):
+    def __init__(self, first: np.ndarray, last: np.ndarray, rates: np.ndarray, seed: int = 7):
+        """first, last: vectors of first and last subwords (fixed); rates: of the classes."""
         g = np.random.default_rng(seed)
+        self.first, self.last = first.astype(np.float32), last.astype(np.float32)
+        d, groups = WIDTH, -(-len(rates) // SLOTS)
+        share = np.zeros(groups * SLOTS)
+        share[: len(rates)] = rates
+        share = share.reshape(groups, SLOTS)
+        group = share.sum(axis=1)
 
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (g.standard_normal(shape) * scale).astype(np.float32)
 
-        d = WIDTH
+        within = normal(groups, HIDDEN + 1, SLOTS, scale=0.05)
+        within[:, -1] = np.where(share > 0, np.log(np.maximum(share, 1e-30) / group[:, None]), -1e4)
+        among = normal(HIDDEN + 1, groups, scale=0.05)
+        among[-1] = np.log(group)
         self.w = {
-            "e": normal(rows + 1, d, scale=0.5),  # the last row stands for no token
-            "q": normal(d, d, scale=1 / d), "k": normal(d, d, scale=d**-0.5), "v": normal(d, d, scale=d**-0.5),
-            "r": np.zeros(WINDOW, np.float32),
-            "a": normal(2 * d, HIDDEN, scale=(2 * d) ** -0.5), "ab": np.zeros(HIDDEN, np.float32),
-            "o": normal(HIDDEN, classes, scale=0.05), "ob": np.log(rates).astype(np.float32),
+            "x": np.concatenate((normal(d, d, scale=0.5 / d), normal(d, d, scale=d**-0.5), normal(d, d, scale=d**-0.5), normal(d, HIDDEN, scale=(2 * d) ** -0.5)), axis=1),
+            "r": np.zeros(WINDOW, np.float32), "m": normal(d, HIDDEN, scale=(2 * d) ** -0.5), "c": np.zeros(HIDDEN, np.float32),
+            "g": among, "s": within,
         }
         query, key = np.arange(WINDOW - STRIDE, WINDOW)[:, None], np.arange(WINDOW)[None]
         self.gap = np.clip(query - key, 0, WINDOW - 1)
         self.causal = key <= query
-        self.tables: tuple | None = None
-
-    def bias(self) -> np.ndarray:
-        return np.where(self.causal, self.w["r"][self.gap], np.float32(-1e4))
 
-    def attend(self, q, k, v, empty):
-        """q (n, STRIDE, d); k, v (n, WINDOW, d); empty (n, WINDOW) -> weights, mixed values."""
+    def forward(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """a, b: rows of ``first`` and ``last`` at each place, a = -1 where there is none. Gives the hidden layer of all
+        places after chunk 0 (its last column is 1), and what the way back needs."""
+        w, d, n = self.w, WIDTH, len(a) // STRIDE - 1
+        x = np.concatenate((self.first[a], self.last[b]), axis=1)
+        h = x @ w["x"]
+        over = lambda y: np.lib.stride_tricks.as_strided(y, (n, WINDOW, d), (STRIDE * y.strides[0], *y.strides))
+        q, k, v = h[STRIDE:, :d].reshape(n, STRIDE, d), over(h[:, d : 2 * d]), over(h[:, 2 * d : 3 * d])
         s = q @ k.transpose(0, 2, 1)
-        s += self.bias()
+        s += np.where(self.causal, w["r"][self.gap], np.float32(-1e4))
+        empty = a < 0
         if empty.any():
-            s[empty.nonzero()[0], :, empty.nonzero()[1]] = -1e4
+            i, j = np.lib.stride_tricks.as_strided(empty, (n, WINDOW), (STRIDE * empty.strides[0], empty.strides[0])).nonzero()
+            s[i, :, j] = -1e4
         np.minimum(s, np.float32(60), out=s)
         np.exp(s, out=s)
         s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
-        return s, s @ v
-
-    def logits(self, chunks: np.ndarray) -> np.ndarray:
-        """Chunks of one layout (the first is empty) -> logits of all tokens of chunks 1.., (n * STRIDE, classes).
+        mixed = s @ v
+        u = np.ones((n * STRIDE, HIDDEN + 1), h.dtype)
+        pre = mixed.reshape(-1, d) @ w["m"]
+        pre += h[STRIDE:, 3 * d :]
+        pre += w["c"]
+        np.maximum(pre, 0, out=u[:, :-1])
+        return u, (x, q, k, v, s, mixed)
+
+    def probability(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Of class t at each row of the hidden layer."""
+        g, s = np.divmod(t, SLOTS)
+        p = u @ self.w["g"]
+        np.exp(p, out=p)
+        out = p[np.arange(len(t)), g] / p.sum(axis=1)
+        order = np.argsort(g, kind="stable")
+        bounds = np.searchsorted(g[order], np.arange(len(self.w["s"]) + 1))
+        for i in np.flatnonzero(np.diff(bounds)):
+            own = order[bounds[i] : bounds[i + 1]]
+            p = u[own] @ self.w["s"][i]
+            np.exp(p, out=p)
+            out[own] *= p[np.arange(len(own)), s[own]] / p.sum(axis=1)
+        return out
 
-        The same function as in ``gradients``. What depends on a token alone (query, key, value, its part of the hidden
-        layer) is one row of a table; windows are overlapping views of the gathered rows.
-        """
+    def gradients(self, a: np.ndarray, b: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
+        """Mean cross-entropy over the targets >= 0 of the places after chunk 0, and its gradients."""
         w, d = self.w, WIDTH
-        if self.tables is None:
-            q, k, v = (w["e"] @ w[m] for m in "qkv")
-            most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(w["r"]).max()
-            self.tables = np.concatenate((q, k, v, w["e"] @ w["a"][:d] + w["ab"]), axis=1), np.vstack((w["o"], w["ob"])), bool(most < 60)
-        table, out, small = self.tables
-        flat = chunks.ravel()
-        n = len(chunks) - 1
-        rows = table[flat]
-        b = rows.strides
-        over = lambda x: np.lib.stride_tricks.as_strided(x, (n, WINDOW, d), (STRIDE * b[0], *b))
-        s = rows[STRIDE:, :d].reshape(n, STRIDE, d) @ over(rows[:, d : 2 * d]).transpose(0, 2, 1)
-        s += self.bias()
-        empty = flat < 0
-        if empty.any():
-            e = np.lib.stride_tricks.as_strided(empty, (n, WINDOW), (STRIDE, 1))
-            i, j = e.nonzero()
-            s[i, :, j] = -1e4
-        if not small:
-            np.minimum(s, np.float32(60), out=s)
-        np.exp(s, out=s)
-        mixed = s @ over(rows[:, 2 * d : 3 * d])
-        mixed /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
-        hidden = np.ones((n * STRIDE, HIDDEN + 1), np.float32)  # the last column carries the bias
-        u = mixed.reshape(-1, d) @ w["a"][d:]
-        u += rows[STRIDE:, 3 * d :]
-        np.maximum(u, 0, out=hidden[:, :-1])
-        return hidden @ out
-
-    def gradients(self, tokens: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
-        """tokens (n, WINDOW), targets (n, STRIDE): mean cross-entropy over targets >= 0 and its gradients."""
-        w, d, n = self.w, WIDTH, len(tokens)
-        x = w["e"][tokens]
-        xq, x2 = x[:, -STRIDE:].reshape(-1, d), x.reshape(-1, d)
-        q, k, v = (xq @ w["q"]).reshape(n, STRIDE, d), (x2 @ w["k"]).reshape(x.shape), (x2 @ w["v"]).reshape(x.shape)
-        s, mixed = self.attend(q, k, v, tokens < 0)
-        h = np.concatenate((xq, mixed.reshape(-1, d)), axis=1)
-        u = np.maximum(h @ w["a"] + w["ab"], 0)
-        p = u @ w["o"] + w["ob"]
+        u, (x, q, k, v, s, mixed) = self.forward(a, b)
+        n = len(q)
+        use = np.flatnonzero(targets >= 0)
+        tg, ts = np.divmod(targets[use], SLOTS)
+        order = np.argsort(tg, kind="stable")
+        use, tg, ts = use[order], tg[order], ts[order]
+        rows, scale = u[use], np.asarray(1 / max(len(use), 1), u.dtype)
+        p = rows @ w["g"]
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        t = targets.ravel()
-        use = t >= 0
-        at = np.arange(len(t))[use]
-        loss = float(-np.log(p[at, t[use]] + 1e-30).mean())
-        p[at, t[use]] -= 1
-        p *= (use / max(use.sum(), 1)).astype(np.float32)[:, None]
-        g = {"o": u.T @ p, "ob": p.sum(axis=0)}
-        du = (p @ w["o"].T) * (u > 0)
-        g["a"], g["ab"] = h.T @ du, du.sum(axis=0)
-        dh = du @ w["a"].T
-        dxq, do = dh[:, :d], np.ascontiguousarray(dh[:, d:]).reshape(n, STRIDE, d)
+        at = np.arange(len(use))
+        loss = -np.log(p[at, tg] + 1e-30).sum()
+        p[at, tg] -= 1
+        p *= scale
+        grad = {"g": rows.T @ p, "s": np.zeros_like(w["s"])}
+        du = p @ w["g"].T
+        bounds = np.searchsorted(tg, np.arange(len(w["s"]) + 1))
+        for i in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[i], bounds[i + 1])
+            p = rows[own] @ w["s"][i]
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+            at = np.arange(len(p))
+            loss -= np.log(p[at, ts[own]] + 1e-30).sum()
+            p[at, ts[own]] -= 1
+            p *= scale
+            grad["s"][i] = rows[own].T @ p
+            du[own] += p @ w["s"][i].T
+        dpre = np.zeros((n * STRIDE, HIDDEN), u.dtype)
+        dpre[use] = du[:, :-1] * (rows[:, :-1] > 0)
+        grad["c"] = dpre.sum(axis=0)
+        grad["m"] = mixed.reshape(-1, d).T @ dpre
+        do = (dpre @ w["m"].T).reshape(n, STRIDE, d)
         dv = s.transpose(0, 2, 1) @ do
         ds = do @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        g["r"] = np.bincount(self.gap.ravel(), (ds.sum(axis=0) * self.causal).ravel(), WINDOW).astype(np.float32)
-        dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
-        dv = dv.reshape(-1, d)
-        g["q"], g["k"], g["v"] = xq.T @ dq, x2.T @ dk, x2.T @ dv
-        dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(x.shape)
-        dx[:, -STRIDE:] += (dxq + dq @ w["q"].T).reshape(n, STRIDE, d)
-        flat = tokens.ravel() % len(w["e"])
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        at = np.flatnonzero(np.diff(flat, prepend=-1))
-        g["e"] = np.zeros_like(w["e"])
-        g["e"][flat[at]] = np.add.reduceat(dx.reshape(-1, d)[order], at, axis=0)
-        return loss, g
-
-    def train(self, tokens: np.ndarray, targets: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
-        g, adam = np.random.default_rng(seed), Adam(self)
-        losses = []
-        for t in range(1, steps + 1):
-            pick = g.integers(0, len(tokens), BATCH)
-            losses.append(adam.step(tokens[pick], targets[pick], 6e-3 * min(1, t / 20) * (1 - 0.95 * t / steps)))
-        self.tables = None
-        return losses
+        ds -= (ds * s).sum(axis=2, keepdims=True)
+        ds *= s
+        grad["r"] = np.bincount(self.gap.ravel(), (ds.sum(axis=0) * self.causal).ravel(), WINDOW).astype(u.dtype)
+        dk = ds.transpose(0, 2, 1) @ q
+        dh = np.zeros((len(a), 3 * d + HIDDEN), u.dtype)
+        dh[STRIDE:, :d] = (ds @ k).reshape(-1, d)
+        for lo, part in ((d, dk), (2 * d, dv)):  # a chunk is looked at from its own window and from the next one's
+            dh[:-STRIDE, lo : lo + d] = part[:, :STRIDE].reshape(-1, d)
+            dh[STRIDE:, lo : lo + d] += part[:, STRIDE:].reshape(-1, d)
+        dh[STRIDE:, 3 * d :] = dpre
+        grad["x"] = x.T @ dh
+        return float(loss * scale), grad
 
 
 class Adam:
@@ -256,9 +271,9 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in net.w.items()}
         self.s = {k: np.zeros_like(v) for k, v in net.w.items()}
 
-    def step(self, tokens: np.ndarray, targets: np.ndarray, rate: float) -> float:
+    def step(self, a: np.ndarray, b: np.ndarray, targets: np.ndarray, rate: float) -> float:
         self.t += 1
-        loss, grad = self.net.gradients(tokens, targets)
+        loss, grad = self.net.gradients(a, b, targets)
         for k, v in grad.items():
             self.m[k] += 0.1 * (v - self.m[k])
             self.s[k] += 0.01 * (v * v - self.s[k])
@@ -266,276 +281,166 @@ class Adam:
         return loss
 
 
-def neighbours(flat: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, counts): how often which mark stands before or after each id that has no class of its own."""
-    cells = []
-    for a, b, shift in ((flat[1:], flat[:-1], 0), (flat[:-1], flat[1:], OWN_CLASS + 1)):
-        use = mark[a] == OWN_CLASS
-        cells.append(a[use] * (2 * (OWN_CLASS + 1)) + mark[b[use]] + shift)
-    return np.unique(np.concatenate(cells), return_counts=True)
-
-
-class WordTree:
-    """Subword tree with the frequent words' nodes and counts of all words on them. For a token: its share among what
-    follows the prefix before it and the weight left to the model, which is the share of words that leave the tree there
-    plus Witten-Bell's share for what was never seen."""
-
-    def __init__(self, words: list[np.ndarray]):
-        child: dict[int, int] = {}
-        parent = [-1]
-        for ids in words:
-            node = 0
-            for i in ids.tolist():
-                key = node << 17 | i
-                to = child.get(key)
-                if to is None:
-                    to = child[key] = len(parent)
-                    parent.append(node)
-                node = to
-        order = sorted(child)
-        self.keys = np.array(order, np.int64)
-        self.to = np.array([child[k] for k in order], np.int64)
-        self.first = np.full(VOCABULARY, -1, np.int64)
-        for k in order:
-            if k < 1 << 17:
-                self.first[k] = child[k]
-        self.parent = np.array(parent)
-        self.nodes = len(parent)
-
-    def tally(self, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of words with their counts: occurrences that pass each node (row 0) and that end there (row 1)."""
-        out = np.zeros((2, self.nodes))
-        first = np.flatnonzero(starts[ids])
-        size = np.append(first[1:], len(ids)) - first
-        node, live, depth = self.first[ids[first]], np.arange(len(first)), 0
-        while len(live):
-            live, node = live[node >= 0], node[node >= 0]
-            out[0] += np.bincount(node, counts[live], self.nodes)
-            over = size[live] == depth + 1
-            out[1] += np.bincount(node[over], counts[live[over]], self.nodes)
-            live, node = live[~over], node[~over]
-            depth += 1
-            node = self._step(node, ids[first[live] + depth])
-        return out
+def numbering(counts: np.ndarray, most: int, force: int | None = None) -> np.ndarray:
+    """Number of each of the ``most`` - 1 most frequent ids (``force`` is 0), and ``most`` - 1 for all others."""
+    top = [i for i in np.argsort(-counts, kind="stable")[:most].tolist() if counts[i] > 0 and i != force]
+    top = ([] if force is None else [force]) + top
+    out = np.full(len(counts), most - 1)
+    out[top[: most - 1]] = np.arange(min(len(top), most - 1))
+    return out
 
-    def places(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Node of each id of words one after the other, -1 outside of the tree."""
-        out = np.full(len(ids), -1, np.int64)
-        first = np.flatnonzero(starts[ids])
-        size = np.append(first[1:], len(ids)) - first
-        node, live, depth = self.first[ids[first]], np.arange(len(first)), 0
-        while len(live):
-            out[first[live] + depth] = node
-            more = (size[live] > depth + 1) & (node >= 0)
-            live, node = live[more], node[more]
-            depth += 1
-            node = self._step(node, ids[first[live] + depth])
-        return out
 
-    def weigh(self, passing: np.ndarray, ending: np.ndarray, kinds: np.ndarray | None = None) -> None:
-        """``kinds``: how many things follow each node in the tree of all words, of which this one is then a part."""
-        if kinds is None:
-            known = ending + np.bincount(self.parent[1:], passing[1:], self.nodes)
-            kinds = (ending > 0) + np.bincount(self.parent[1:], minlength=self.nodes)
-        else:
-            known = passing
-        whole = np.maximum(np.maximum(passing, known) + kinds, 1)
-        self.rest = ((whole - known) / whole).astype(np.float32)
-        self.ends = (ending / whole).astype(np.float32)
-        self.share = (passing / whole[self.parent]).astype(np.float32)  # of a node among what follows its parent
-
-    def _step(self, nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(nodes), -1, np.int64)
-        key = nodes << 17 | ids
-        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[i] == key, self.to[i], -1)
-
-    def evidence(self, ids: np.ndarray, starts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a, b) of each id of texts one after the other, each with END after its words; ``begins``: where texts begin.
-        For an id that begins a word, and for END, it is about the end of the word before."""
-        first = np.flatnonzero(starts[ids])
-        after = np.append(first[1:], len(ids))  # where each word's end is told
-        size = after - first
-        a, b = np.zeros(len(ids) + 1, np.float32), np.ones(len(ids) + 1, np.float32)
-        node = self.first[ids[first]]
-        live = np.arange(len(first))
-        depth = 0
-        while len(live):
-            inside = node >= 0
-            live, node = live[inside], node[inside]  # words that left the tree keep (0, 1)
-            over = size[live] == depth + 1
-            done, at = live[over], node[over]
-            a[after[done]], b[after[done]] = self.ends[at], self.rest[at]
-            live, node = live[~over], node[~over]
-            depth += 1
-            place = first[live] + depth
-            to = self._step(node, ids[place])
-            b[place] = self.rest[node]
-            a[place] = np.where(to >= 0, self.share[to], 0)
-            node = to
-        a[begins], b[begins] = 1, 0
-        return a[:-1], b[:-1]
-
-
-class Scorer:
-    """Ids -> log probability: the model with its maps from ids to embedding rows, classes and probabilities within a class."""
-
-    def __init__(self, counts: np.ndarray, sample: list[np.ndarray], starts_word: np.ndarray, tree: WordTree, beside: tuple[np.ndarray, np.ndarray] | None = None):
-        """``beside``: cells of ``neighbours`` and their counts in the whole corpus; without it, those in the sample."""
-        self.starts, self.tree = starts_word, tree
-        order = np.argsort(-counts, kind="stable")
-        if beside is None and sample:
-            beside = neighbours(np.concatenate(sample), self.marks(counts))
-        cls = self._classes(counts, beside, starts_word)
-        within = np.bincount(cls, counts + ALPHA)
-        self.cls, self.inner = cls, (counts + ALPHA) / within[cls]
-        own = order[: min(EMBEDDED, int((counts > 0).sum()))]
-        self.row = len(own) + cls  # others share their class's row
-        self.row[own] = np.arange(len(own))
-        classes = int(cls.max()) + 1
-        rates = np.bincount(cls, counts + ALPHA, classes)
-        begins = np.zeros(classes, np.float32)
-        begins[cls] = starts_word  # a class holds only ids that begin words, or none
-        self.sums = np.stack((np.ones(classes, np.float32), begins), axis=1)
-        self.net = Attention(len(own) + classes, classes, rates / rates.sum())
-        if sample:
-            self.losses = self.net.train(*self.windows(np.concatenate([t[1:] for t in sample]), np.array([len(t) - 1 for t in sample])))
-
-    def windows(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Embedding rows and target classes of all windows that have targets."""
-        tokens, targets, _, _ = layout(ids, lengths)
-        tokens, targets = self._rows(tokens), np.where(targets < 0, -1, self.cls[targets])
-        some = (targets[1:] >= 0).any(axis=1)
-        return np.concatenate((tokens[:-1], tokens[1:]), axis=1)[some], targets[1:][some]
-
-    def _rows(self, tokens: np.ndarray) -> np.ndarray:
-        return np.where(tokens < 0, -1, self.row[tokens])
+def principal(profile: np.ndarray, width: int) -> np.ndarray:
+    """Rows of counts -> coordinates of about unit size on the main axes of their square-rooted rates; rare rows lie near the mean."""
+    weight = profile.sum(axis=1, keepdims=True)
+    x = np.sqrt(profile / np.maximum(weight, 1)) + np.sqrt(profile.sum(axis=0) / max(weight.sum(), 1)) / np.sqrt(weight + 1)
+    mean = (x * weight).sum(axis=0) / max(weight.sum(), 1)
+    x = (x - mean) * (weight > 0)
+    axes = np.linalg.eigh((x * np.sqrt(weight)).T @ (x * np.sqrt(weight)))[1][:, ::-1][:, :width]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1, 1)
+    out = x @ axes
+    spread = np.sqrt((out**2 * weight).sum(axis=0) / max(weight.sum(), 1))
+    out = np.clip(out / np.maximum(spread, 1e-6), -4, 4)
+    return np.pad(out, ((0, 0), (0, width - out.shape[1])))
+
+
+class Places:
+    """Ids -> rows of the vectors and marks, from counts of words by their first id (END: of texts) and by their last."""
+
+    def __init__(self, firsts: np.ndarray, lasts: np.ndarray):
+        self.a = numbering(firsts, EMBEDDED, END)
+        self.b = np.full(NONE + 1, EMBEDDED)  # row EMBEDDED: no last id
+        self.b[:VOCABULARY] = numbering(lasts, EMBEDDED)
+        self.mark = numbering(firsts, MARKS, END)
+
+    def neighbours(self, first: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, counts): how often which mark follows a first id, stands before one, or follows a last id."""
+        a, b, mark = stream(self.a[first], 0, sizes), stream(self.b[last], EMBEDDED, sizes), stream(self.mark[first], 0, sizes)
+        rows = np.concatenate((a[:-1], EMBEDDED + a[1:], 2 * EMBEDDED + b[:-1]))
+        return np.unique(rows * MARKS + np.concatenate((mark[1:], mark[:-1], mark[1:])), return_counts=True)
+
+
+def stream(values: np.ndarray, end: int, sizes: np.ndarray) -> np.ndarray:
+    """Values of all words, ``end`` before the first text and after each text."""
+    out = np.full(len(values) + len(sizes) + 1, end)
+    out[1 + np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
+    return out
+
 
-    @staticmethod
-    def marks(counts: np.ndarray) -> np.ndarray:
-        """Number of each id with a class of its own (END and the most frequent), and OWN_CLASS for all others."""
-        order = np.argsort(-counts, kind="stable")
-        top = [END, *[i for i in order[: OWN_CLASS + 1].tolist() if i != END and counts[i] > 0][: OWN_CLASS - 1]]
-        mark = np.full(VOCABULARY, OWN_CLASS)
-        mark[top] = np.arange(len(top))
-        return mark
+class Model:
+    """The attention model with its maps from ids to vectors, to classes and to their share of a class."""
+
+    def __init__(self, places: Places, firsts: np.ndarray, beside: tuple[np.ndarray, np.ndarray], starts_word: np.ndarray):
+        """firsts: counts of words by first id (END: of texts); beside: cells of ``Places.neighbours`` and their counts."""
+        table = np.zeros(((3 * EMBEDDED + 1) * MARKS,), np.float64)
+        table[beside[0]] = beside[1]
+        table = table.reshape(-1, MARKS)
+        after, before, last = table[:EMBEDDED], table[EMBEDDED : 2 * EMBEDDED], table[2 * EMBEDDED :]
+        sides = np.concatenate((after, before), axis=1)
+        self.places, self.starts = places, starts_word
+        self.cls = self._classes(firsts, places.a, sides)
+        mass = np.where(starts_word, firsts + ALPHA, 0)
+        rates = np.bincount(self.cls[starts_word], mass[starts_word])
+        self.share = mass / rates[self.cls]
+        self.rates = rates / rates.sum()
+        self.net = Attention(principal(sides, WIDTH_FIRST), principal(last, WIDTH_LAST), self.rates)
+        self.targets = 0
 
     @staticmethod
-    def _classes(counts: np.ndarray, beside: tuple[np.ndarray, np.ndarray] | None, starts_word: np.ndarray) -> np.ndarray:
-        """Class of each id: the most frequent and END alone; others by k-means on what stands beside them; the unseen in two classes."""
-        mark = Scorer.marks(counts)
-        base = int((mark < OWN_CLASS).sum())
-        cls = np.where(mark < OWN_CLASS, mark, base + starts_word)
-        if beside is None:
-            return cls
-        cells, n = beside
-        width = 2 * (OWN_CLASS + 1)
-        seen, row = np.unique(cells // width, return_inverse=True)
-        if len(seen) < 2 * SHARED_CLASSES:
-            return cls
-        profile = np.zeros((len(seen), width), np.float32)
-        profile[row, cells % width] = n
-        weight = profile.sum(axis=1, keepdims=True)
-        profile = np.sqrt(profile / np.maximum(weight, 1))
-        profile = profile + np.sqrt(profile.mean(axis=0, keepdims=True)) / np.sqrt(weight + 1)  # rare ones towards the mean
-        profile -= profile.mean(axis=0)
-        x = profile @ np.linalg.eigh(profile.T @ profile)[1][:, :-17:-1]
-        g = np.random.default_rng(3)
-        centres = x[np.argsort(-counts[seen], kind="stable")[:SHARED_CLASSES]] + g.standard_normal((SHARED_CLASSES, x.shape[1])).astype(np.float32) * 1e-3
-        for _ in range(12):
-            near = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
-            for c in range(SHARED_CLASSES):
-                if (near == c).any():
-                    centres[c] = x[near == c].mean(axis=0)
-        used, near = np.unique(near * 2 + starts_word[seen], return_inverse=True)
-        cls[seen] = base + 2 + near
-        return cls
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each sequence (END, ids, END)."""
-        targets, lengths = np.concatenate([t[1:] for t in texts]), np.array([len(t) - 1 for t in texts])
-        return self.score_flat(targets, lengths, *self.tree.evidence(targets, self.starts, np.cumsum(lengths) - lengths))
-
-    def score_words(self, words: list[bytes], counts: np.ndarray, cut) -> np.ndarray:
-        """log10 probability of texts given by all their words and the number of words of each. What depends on a word
-        alone, its ids and its place in the tree, is worked out once for each distinct word."""
-        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        return self.score_numbered(list(number), which, counts, cut)
-
-    def score_numbered(self, distinct: list[bytes], which: np.ndarray, counts: np.ndarray, cut) -> np.ndarray:
-        return self.score_apart(np.append(cut(distinct), END), which, counts, np.zeros(len(distinct), bool))[0]
-
-    def score_apart(self, ids: np.ndarray, which: np.ndarray, counts: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids: of the distinct words, then END. (scores, numbers, places): the scores lack the tree's part at the words
-        ``apart``; a word of m ids at place i has it from numbers[i + 1 : i + m + 1], see ``tree_part``."""
-        first = np.flatnonzero(self.starts[ids])  # of each distinct word, and of the END after them
-        x, y = self.tree.evidence(ids, self.starts, np.zeros(1, np.int64))
-        size = np.diff(first)
-        if apart.any():
-            own = np.repeat(apart, size)  # an id's evidence tells of its own word, but where it begins a word of the one before
-            own = np.where(self.starts[ids], np.append(False, own), np.append(own, False))
-            x[own], y[own] = 1, 0
-        targets, place, source, begin, lengths = spell(ids, first, which, counts)
-        a, b = np.zeros(len(targets), np.float32), np.ones(len(targets), np.float32)
-        a[place], b[place] = x[source], y[source]
-        after, then = begin + size[which], first[which + 1]  # a word's end is told at the id after it
-        a[after], b[after] = x[then], y[then]
-        starts = np.cumsum(lengths) - lengths
-        a[starts], b[starts] = 1, 0
-        return *self.score_numbers(targets, lengths, a, b), begin
-
-    def score_flat(self, ids: np.ndarray, lengths: np.ndarray, evidence_a: np.ndarray, evidence_b: np.ndarray) -> np.ndarray:
-        return self.score_numbers(ids, lengths, evidence_a, evidence_b)[0]
-
-    def score_numbers(self, ids: np.ndarray, lengths: np.ndarray, evidence_a: np.ndarray, evidence_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, and of each id the model's number that is mixed with the tree's: that a word begins, else the id's own."""
-        tokens, targets, owner, place = layout(ids, lengths)
-        a, b = np.zeros(targets.size, np.float32), np.ones(targets.size, np.float32)
-        a[place], b[place] = evidence_a, evidence_b
-        a, b = a.reshape(targets.shape), b.reshape(targets.shape)
-        rows, out = self._rows(tokens), np.zeros(len(tokens))
-        numbers = np.zeros(targets.shape, np.float32)
-        for i in range(0, len(tokens) - 1, AT_ONCE):
-            j = min(i + AT_ONCE, len(tokens) - 1)
-            want = targets[i + 1 : j + 1].ravel()
-            p = self.net.logits(rows[i : j + 1])
-            np.exp(p, out=p)
-            total = p @ self.sums
-            own = p[np.arange(len(want)), self.cls[want]] / total[:, 0] * self.inner[want]
-            begin = np.maximum(total[:, 1] / total[:, 0], 1e-20)
-            x, y = a[i + 1 : j + 1].ravel(), b[i + 1 : j + 1].ravel()
-            new = self.starts[want]
-            number = np.where(new, begin, own)
-            numbers[i + 1 : j + 1] = number.reshape(-1, STRIDE)
-            each = (x + y * number) * np.where(new, own / begin, 1)
-            each[want < 0] = 1
-            out[i + 1 : j + 1] = np.log10(np.maximum(each, 1e-300)).reshape(-1, STRIDE).sum(axis=1)
-        return np.bincount(owner, out, len(lengths)), numbers.ravel()[place]
-
-
-def spell(ids: np.ndarray, first: np.ndarray, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Texts given by their words' numbers and how many words each has, as ids with END after each text: (ids, place and
-    source of each word's ids, where each word begins, ids of each text)."""
-    long = np.diff(first)[which] if len(which) else np.zeros(0, np.int64)
-    ends = np.cumsum(counts)
-    begin = np.cumsum(long) - long + np.repeat(np.arange(len(counts)), counts)
-    inner = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
-    targets = np.full(int(long.sum()) + len(counts), END)
-    place, source = np.repeat(begin, long) + inner, np.repeat(first[which], long) + inner
-    targets[place] = ids[source]
-    sums = np.concatenate(([0], np.cumsum(long)))
-    return targets, place, source, begin, sums[ends] - sums[ends - counts] + 1
-
-
-def tree_part(numbers: np.ndarray, size: int, passing: np.ndarray, ending: np.ndarray, kinds: np.ndarray) -> float:
-    """log10 of the tree's part of a word's occurrences: ``numbers`` holds ``size`` of each; nodes that are not in the
-    tree have passing 0. The same as WordTree.weigh and evidence give."""
-    whole = np.maximum(passing + kinds, 1)
-    b = np.where(passing > 0, kinds / whole, 1)
-    a = np.append(passing[1:], ending[-1]) / whole * (passing > 0)
-    return float(np.log10(np.maximum(a + b * numbers.reshape(-1, size), 1e-300)).sum())
+    def _classes(firsts: np.ndarray, row: np.ndarray, sides: np.ndarray) -> np.ndarray:
+        """Class of each first id: END and the most frequent alone, others by k-means on what stands beside them, and those
+        without a vector of their own in one. Classes are in order of their main axis, so that groups hold similar ones."""
+        x = principal(sides, WIDTH_FIRST)
+        used = np.bincount(row[firsts > 0], minlength=EMBEDDED) > 0
+        kind = np.arange(EMBEDDED)  # class of each row, before classes are put in order
+        rest = np.flatnonzero(used & (kind >= OWN_CLASS) & (kind < EMBEDDED - 1))
+        if len(rest):
+            y = x[rest]
+            centres = y[np.unique(np.linspace(0, len(rest) - 1, SHARED_CLASSES).astype(int))]
+            for _ in range(12):
+                near = ((centres**2).sum(axis=1) - 2 * y @ centres.T).argmin(axis=1)
+                centres = np.array([y[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+            kind[rest] = OWN_CLASS + near
+        other = OWN_CLASS + SHARED_CLASSES
+        kind[~used] = other
+        kind[EMBEDDED - 1] = other
+        weight = np.bincount(row, firsts, EMBEDDED)
+        axis = np.bincount(kind, x[:, 0] * weight, other + 1) / np.maximum(np.bincount(kind, weight, other + 1), 1)
+        some = np.unique(kind)
+        place = np.zeros(other + 1, np.int64)
+        place[some[np.argsort(axis[some], kind="stable")]] = np.arange(len(some))
+        return place[kind[row]]
+
+    def lay(self, first: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts (their words' ids, ``sizes`` words each) in chunks of STRIDE places, each text after one empty chunk: rows of
+        the vectors of the token before (-1 for none), target classes (-1 for none), and where each text's targets went."""
+        lengths = sizes + 1
+        chunks = 1 - (-lengths // STRIDE)
+        at = np.cumsum(chunks) - chunks
+        place = np.repeat((at + 1) * STRIDE - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        total = int(chunks.sum()) * STRIDE
+        a, b, t = np.full(total, -1, np.int32), np.full(total, EMBEDDED, np.int32), np.full(total, -1, np.int32)
+        words = np.arange(len(first)) + np.repeat(np.arange(len(sizes)), sizes)
+        a[(at + 1) * STRIDE], t[place] = self.places.a[END], self.cls[END]
+        t[place[words]] = self.cls[first]
+        a[place[words + 1]], b[place[words + 1]] = self.places.a[first], self.places.b[last]
+        return a, b, t, place
+
+    def fit(self, first: np.ndarray, last: np.ndarray, sizes: np.ndarray, adam: Adam, rate, g: np.random.Generator) -> int:
+        """One pass over all windows of the texts in random order of blocks of BATCH chunks; ``rate(step)``. Returns the targets used."""
+        a, b, t, _ = self.lay(first, last, sizes)
+        blocks = np.arange(0, len(a) - STRIDE, BATCH * STRIDE)
+        for i in g.permutation(blocks).tolist():
+            j = min(i + (BATCH + 1) * STRIDE, len(a))
+            adam.step(a[i:j], b[i:j], t[i + STRIDE : j], rate(adam.t + 1))
+        return int((t >= 0).sum())
+
+    def score(self, first: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each text's first ids and end; the words' further ids come from the tree."""
+        if not len(sizes):
+            return np.zeros(0)
+        a, b, t, place = self.lay(first, last, sizes)
+        p = np.ones(len(a))
+        for i in range(0, len(a) - STRIDE, AT_ONCE * STRIDE):
+            j = min(i + (AT_ONCE + 1) * STRIDE, len(a))
+            use = np.flatnonzero(t[i + STRIDE : j] >= 0)
+            u, _ = self.net.forward(a[i:j], b[i:j])
+            want = t[i + STRIDE : j][use]
+            p[i + STRIDE + use] = (1 - BACKGROUND) * self.net.probability(u[use], want) + BACKGROUND * self.rates[want]
+        p = p[place] * self.share[stream(first, END, sizes)[1:]]
+        ends = np.cumsum(sizes + 1)
+        return np.add.reduceat(np.log10(p), ends - sizes - 1)
+
+
+class Inside:
+    """The words' further subwords: the tree's counts, smoothed towards what follows the subword before in the words' kinds,
+    and that towards the rate of each subword inside words. A word's end is one of the things that follow."""
+
+    def __init__(self, inner: np.ndarray, words: float, starts_word: np.ndarray, total: np.ndarray, kinds: np.ndarray, ends: np.ndarray):
+        """inner: counts of ids inside words; of each id: nodes that follow it and ends after it (total), how many of them
+        differ (kinds), and ends alone."""
+        mass = np.where(starts_word, 0, inner + ALPHA)
+        whole = mass.sum() + words + ALPHA
+        self.rate, self.end = mass / whole, (words + ALPHA) / whole
+        self.total, self.kinds, self.ends = total, kinds, ends
+
+    def base(self, before: np.ndarray, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Of each id after the id before it; ``pairs``: nodes of that pair. END stands for the word's end."""
+        rate = np.where(ids == END, self.end, self.rate[ids])
+        whole = self.total[before] + self.kinds[before]
+        return np.where(whole > 0, (pairs + self.kinds[before] * rate) / np.maximum(whole, 1), rate)
+
+    def logs(self, ids: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, passing: np.ndarray, ending: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """log10 probability, after its first id, of each of the words whose ids (``sizes`` each) stand one after the other
+        with their nodes' numbers, all zero for an id that is not in the tree, and ``pairs`` with the id before."""
+        if not len(sizes):
+            return np.zeros(0)
+        last = np.cumsum(sizes) - 1
+        then, follow, pair = np.append(ids[1:], 0), np.append(passing[1:], 0).astype(np.float64), np.append(pairs[1:], 0)
+        then[last], follow[last], pair[last] = END, ending[last], self.ends[ids[last]]
+        base = self.base(ids, then, pair)
+        p = np.where(passing > 0, (follow + kinds * base) / np.maximum(passing + kinds, 1), base)
+        return np.add.reduceat(np.log10(p), last - sizes + 1)
 
 
 # --- the operator -----------------------------------------------------------------------------------------------
@@ -569,8 +474,8 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
 
 
 def count_nodes(words: DataFrame, ranks_path: str | None) -> tuple[DataFrame, str]:
-    """The tree of all counted words, written: (key, parent, id, passing, ending, kinds) of each node. ``kinds`` is how many
-    ids, or the end, follow it."""
+    """The tree of all counted words, written: (key, parent, before, id, passing, ending, kinds) of each node; ``before`` is the
+    parent's id. ``kinds`` is how many ids, or the end, follow it."""
     small_batches(words.sparkSession)
 
     def run(batches):
@@ -582,12 +487,14 @@ def count_nodes(words: DataFrame, ranks_path: str | None) -> tuple[DataFrame, st
             keys, first, size = node_keys(ids, starts)
             parent = np.append(0, keys[:-1])
             parent[first] = 0
+            before = np.append(0, ids[:-1])
+            before[first] = END
             ends = np.zeros(len(ids), np.int64)
             ends[first + size - 1] = c
-            yield pa.record_batch([pa.array(x) for x in (keys, parent, ids, np.repeat(c, size), ends)], names=["key", "parent", "id", "passing", "ending"])
+            yield pa.record_batch([pa.array(x) for x in (keys, parent, before.astype(np.int32), ids.astype(np.int32), np.repeat(c, size), ends)], names=["key", "parent", "before", "id", "passing", "ending"])
 
-    each = words.select("w", "c").mapInArrow(run, "key long, parent long, id long, passing long, ending long")
-    plain = each.groupBy("key").agg(F.min("parent").alias("parent"), F.min("id").alias("id"), F.sum("passing").alias("passing"), F.sum("ending").alias("ending"))
+    each = words.select("w", "c").mapInArrow(run, "key long, parent long, before int, id int, passing long, ending long")
+    plain = each.groupBy("key").agg(F.min("parent").alias("parent"), F.min("before").alias("before"), F.min("id").alias("id"), F.sum("passing").alias("passing"), F.sum("ending").alias("ending"))
     plain, path = materialise(plain, "nodes-plain")
     below = plain.where("parent <> 0").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("below"))
     nodes = plain.join(below, "key", "left").withColumn("kinds", F.coalesce("below", F.lit(0)) + (F.col("ending") > 0).cast("long")).drop("below")
@@ -596,194 +503,140 @@ def count_nodes(words: DataFrame, ranks_path: str | None) -> tuple[DataFrame, st
     return nodes, nodes_path
 
 
-def head_nodes(nodes: DataFrame, keys: np.ndarray) -> np.ndarray:
-    """(passing, ending, kinds) of the nodes with these keys, which are the broadcast part of the tree."""
-    order = np.argsort(keys)
-    shared = nodes.sparkSession.sparkContext.broadcast(keys[order])
+def count_pairs(nodes: DataFrame) -> tuple[DataFrame, str, np.ndarray, np.ndarray, np.ndarray]:
+    """(before, id, pairs): how many nodes have that id after that one, written; its path; and of each id what ``Inside`` takes."""
+    pairs, path = materialise(nodes.where("parent <> 0").groupBy("before", "id").agg(F.count("*").alias("pairs")), "pairs")
+    total, kinds, ends = np.zeros(VOCABULARY), np.zeros(VOCABULARY), np.zeros(VOCABULARY)
+    for r in pairs.groupBy("before").agg(F.sum("pairs").alias("n"), F.count("*").alias("k")).collect():
+        total[r["before"]], kinds[r["before"]] = r["n"], r["k"]
+    for r in nodes.where("ending > 0").groupBy("id").count().collect():
+        ends[r["id"]] = r["count"]
+    return pairs, path, total + ends, kinds + (ends > 0), ends
 
-    def run(batches):
-        for b in batches:
-            k = b.column(0).to_numpy()
-            i = np.minimum(np.searchsorted(shared.value, k), len(shared.value) - 1)
-            hit = np.flatnonzero(shared.value[i] == k)
-            if len(hit):
-                yield pa.record_batch([pa.array(i[hit]), *(b.column(j).take(pa.array(hit)) for j in (1, 2, 3))], names=["at", "passing", "ending", "kinds"])
-
-    out = np.zeros((3, len(keys)))
-    if len(keys):
-        got = nodes.select("key", "passing", "ending", "kinds").mapInArrow(run, "at long, passing long, ending long, kinds long").toPandas()
-        out[:, order[got["at"]]] = got[["passing", "ending", "kinds"]].to_numpy().T
-    shared.unpersist()
-    return out
 
-
-def write_ids(train: DataFrame, key: str, text: str, ranks_path: str | None) -> tuple[DataFrame, str]:
-    """(h, ids) of all training rows, written: a hash to deal rows by, and the text's ids with END as 16-bit numbers."""
+def look_up(words: DataFrame, nodes: DataFrame, pairs: DataFrame, inside: Inside, ranks_path: str | None) -> DataFrame:
+    """words: w, k (distinct). (k, inner): log10 probability of each word after its first id."""
+    shared = words.sparkSession.sparkContext.broadcast(inside)
 
     def start():
         return cutter(ranks_path), word_starts(ranks_path)
 
     def run(state, b: pa.RecordBatch) -> pa.RecordBatch:
         cut, starts = state
-        texts = [t.lower().split() for t in text_bytes(b.column(1))]
-        words = list(chain.from_iterable(texts))
-        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        ids = np.append(cut(list(number)), END)
-        targets, _, _, _, lengths = spell(ids, np.flatnonzero(starts[ids]), which, np.array([len(t) for t in texts]))
-        ends = np.cumsum(lengths)
-        flat = targets.astype("<u2")
-        return pa.record_batch([b.column(0), pa.array([flat[j - n : j].tobytes() for j, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary())], names=["h", "ids"])
+        ids = cut(b.column(0).to_pylist())
+        keys, first, size = node_keys(ids, starts)
+        inner = np.arange(len(keys)) - np.repeat(first, size)
+        before = np.append(0, ids[:-1])
+        before[first] = END  # no pair begins with it
+        return pa.record_batch([pa.array(np.repeat(b.column(1).to_numpy(), size)), *(pa.array(x.astype(np.int32)) for x in (inner, before, ids)), pa.array(keys)], names=["k", "at", "before", "id", "key"])
+
+    steps = by_batch(words.select("w", "k"), run, "k long, at int, before int, id int, key long", start=start)
+    value = [F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "passing", "ending", "kinds")]
+    found = steps.join(nodes.select("key", "passing", "ending", "kinds"), "key", "left").join(pairs, ["before", "id"], "left").select("k", "at", "id", *value)
+    path = found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "id", "pairs", "passing", "ending", "kinds"))).alias("n"))
 
-    return materialise(by_batch(train.select(F.xxhash64(F.lit("ids"), key, text).alias("h"), text), run, "h long, ids binary", start=start), "ids")
+    def add(b: pa.RecordBatch) -> pa.RecordBatch:
+        off = b.column(1).offsets.to_numpy()
+        ids, pair, passing, ending, kinds = (x.to_numpy(zero_copy_only=False) for x in b.column(1).flatten().flatten()[1:])
+        return pa.record_batch([b.column(0), pa.array(shared.value.logs(ids, np.diff(off), pair, passing, ending, kinds))], names=["k", "inner"])
 
+    return by_batch(path, add, "k long, inner double")
 
-def read_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch of texts, and how many each has."""
+
+def read_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last ids of all words of a batch of texts, and how many words each text has."""
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.array([len(r) // 2 for r in raw])
+    both = np.frombuffer(b"".join(raw), "<u2").reshape(-1, 2)
+    return both[:, 0], both[:, 1], np.array([len(r) // 4 for r in raw], np.int64)
 
 
-def count_neighbours(ids: DataFrame, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``neighbours`` over all training rows. There are at most as many cells as ids times twice the marks."""
+def count_neighbours(ids: DataFrame, places: Places) -> tuple[np.ndarray, np.ndarray]:
+    """``Places.neighbours`` over all training rows. There are at most as many cells as rows of vectors times marks."""
     small_batches(ids.sparkSession)
 
     def run(batches):
-        total = np.zeros(VOCABULARY * 2 * (OWN_CLASS + 1), np.int32)
+        total = np.zeros((3 * EMBEDDED + 1) * MARKS, np.int64)
         for b in batches:
             if b.num_rows:
-                cells, n = neighbours(np.append(END, read_ids(b.column(0))[0]), mark)
-                total[cells] += n.astype(np.int32)
+                cells, n = places.neighbours(*read_ids(b.column(0)))
+                total[cells] += n
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
     got = ids.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
     return got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
-def refine(scorer: Scorer, ids: DataFrame, rows: int) -> int:
-    """Fits the weights on every window of all training rows: each task goes over its rows from the shared weights, and
-    the tasks' weights are averaged, an embedding by its occurrences and the others by targets. Returns the targets used."""
+def refine(model: Model, ids: DataFrame) -> None:
+    """Fits the weights on every window of all training rows: each task goes over its rows from the shared weights, and the
+    tasks' weights are averaged by their targets, in two steps so that no task adds up those of all others."""
     spark = ids.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(scorer)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        own = shared.value
-        adam, g = Adam(own.net), np.random.default_rng(13)
-        seen, used = np.zeros(len(own.net.w["e"])), 0
+        own, task = shared.value, TaskContext.get().partitionId()
+        adam, g, used = Adam(own.net), np.random.default_rng(13), 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            tokens, targets = own.windows(*read_ids(b.column(1)))
-            order = g.permutation(len(tokens))
-            for i in range(0, len(order), BATCH):
-                pick = order[i : i + BATCH]
-                adam.step(tokens[pick], targets[pick], 2e-3 * min(1, (adam.t + 1) / 20) / (1 + adam.t / 200) ** 0.5)
-            seen += np.bincount(tokens[tokens >= 0], minlength=len(seen))
-            used += int((targets >= 0).sum())
+            if b.num_rows:
+                used += own.fit(*read_ids(b.column(0)), adam, lambda t: 2e-3 * min(1, t / 20) / (1 + t / 200) ** 0.5, g)
         if used:
             for name, w in own.net.w.items():
-                n = seen if name == "e" else np.full(1, float(used))
-                sums = w.astype(np.float64) * (n[:, None] if name == "e" else n)
-                yield pa.record_batch([pa.array([name]), pa.array([sums.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["name", "sums", "n"])
-
-    def add(batches):
-        total: dict[str, list[np.ndarray]] = {}
-        for b in batches:
-            for name, *parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                parts = [np.frombuffer(x, np.float64) for x in parts]
-                total[name] = [x + y for x, y in zip(total[name], parts, strict=True)] if name in total else parts
-        for name, (x, n) in total.items():
-            yield pa.record_batch([pa.array([name]), pa.array([x.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["name", "sums", "n"])
-
-    kind = "name string, sums binary, n binary"
-    dealt = ids.repartition(-(-rows // TASK_ROWS) or 1, "h").sortWithinPartitions("h", "ids")
-    used = 0
-    for r in dealt.mapInArrow(run, kind).repartition("name").mapInArrow(add, kind).collect():
-        w, n = scorer.net.w[r["name"]], np.frombuffer(r["n"])
-        mean = np.frombuffer(r["sums"]).reshape(w.shape)
-        if r["name"] == "e":
-            w[n > 0] = mean[n > 0] / n[n > 0, None]
-        else:
-            w[...], used = mean / n, int(n[0])
-    scorer.net.tables = None
+                yield pa.record_batch([pa.array([name]), pa.array([task % 64], pa.int32()), pa.array([(w.astype(np.float64) * used).tobytes()], pa.binary()), pa.array([used], pa.int64())], names=["name", "slot", "sums", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x, np.float64) for x in t.column("sums").to_pylist())
+        name, slot = t.column("name")[0], t.column("slot")[0]
+        return pa.table({"name": [name], "slot": pa.array([slot.as_py()], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+
+    kind = "name string, slot int, sums binary, n long"
+    some = ids.select("ids").mapInArrow(run, kind).groupBy("name", "slot").applyInArrow(add, kind)
+    for r in some.withColumn("slot", F.lit(0)).groupBy("name", "slot").applyInArrow(add, kind).collect():
+        w = model.net.w[r["name"]]
+        w[...] = (np.frombuffer(r["sums"]) / r["n"]).reshape(w.shape)
+        model.targets = r["n"]
     shared.unpersist()
-    return used
-
-
-def sequence(words: list[bytes], cut) -> np.ndarray:
-    return np.concatenate(([END], cut(words), [END]))
-
-
-def fit(train: DataFrame, nodes: DataFrame, head: dict[bytes, int], key: str, text: str, ends: int, ranks_path: str | None) -> Scorer:
-    """The model of all training rows."""
-    spark = train.sparkSession
-    ordered = sorted(head)
-    cut, starts = cutter(ranks_path), word_starts(ranks_path)
-    ids = cut(ordered)
-    tree = WordTree(np.split(ids, np.flatnonzero(starts[ids])[1:]) if len(ids) else [])
-    place = tree.places(ids, starts)
-    keys = np.zeros(tree.nodes, np.int64)
-    keys[place] = node_keys(ids, starts)[0]
-    values = np.zeros((3, tree.nodes))
-    values[:, 1:] = head_nodes(nodes, keys[1:])
-    tree.weigh(*values)
-    counts = np.zeros(VOCABULARY)
-    for r in nodes.groupBy("id").agg(F.sum("passing").alias("n")).collect():
-        counts[r["id"]] = r["n"]
-    counts[END] = ends
-    if not ends:
-        return Scorer(counts, [], starts, tree)
-    written, path = write_ids(train, key, text, ranks_path)
-    beside = count_neighbours(written, Scorer.marks(counts))
-    draw = F.pmod(F.xxhash64(F.lit("lm"), "h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_ROWS / ends))
-    sample: list[np.ndarray] = []
-    n = 0
-    for r in sorted(written.where(draw).collect()):
-        if n > SAMPLE_TOKENS:
-            break
-        sample.append(np.append(END, np.frombuffer(r["ids"], "<u2").astype(np.int64)))
-        n += len(sample[-1])
-    scorer = Scorer(counts, sample, starts, tree, beside)
-    scorer.targets = refine(scorer, written, ends)
-    release(spark, path)
-    return scorer
-
 
-def look_up(rare: DataFrame, nodes: DataFrame, ranks_path: str | None) -> DataFrame:
-    """(k, nodes) of each word of ``rare`` (w, k): passing, ending and kinds of the nodes on its path, zero where there is none."""
 
-    def start():
-        return cutter(ranks_path), word_starts(ranks_path)
+def start_weights(model: Model, ids: DataFrame, words: int, start_words: int, steps: int = STEPS) -> None:
+    """The weights' start, from a hash-drawn sample of about ``start_words`` words."""
+    draw = F.pmod(F.xxhash64(F.lit("lm"), "ids"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, start_words / max(words, 1)))
+    sample = sorted(bytes(r["ids"]) for r in ids.select("ids").where(draw).collect())
+    if not sample:
+        return
+    first, last, sizes = read_ids(pa.array(sample, pa.binary()))
+    adam, g = Adam(model.net), np.random.default_rng(11)
+    while adam.t < steps:
+        model.fit(first, last, sizes, adam, lambda t: 6e-3 * min(1, t / 20) * max(0.05, 1 - 0.95 * t / steps), g)
 
-    def run(state, b: pa.RecordBatch) -> pa.RecordBatch:
-        cut, starts = state
-        keys, first, size = node_keys(cut(b.column(0).to_pylist()), starts)
-        inner = np.arange(len(keys)) - np.repeat(first, size)
-        return pa.record_batch([pa.array(np.repeat(b.column(1).to_numpy(), size)), pa.array(inner.astype(np.int32)), pa.array(keys)], names=["k", "at", "key"])
 
-    steps = by_batch(rare.select("w", "k"), run, "k long, at int, key long", start=start)
-    value = [F.coalesce(c, F.lit(0)).alias(c) for c in ("passing", "ending", "kinds")]
-    found = steps.join(nodes.select("key", "passing", "ending", "kinds"), "key", "left").select("k", "at", *value)
-    return found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "passing", "ending", "kinds"))).alias("nodes"))
-
-
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None, start_words: int = START_WORDS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
-    Null texts count as empty: one token, the end. Repeated rows come out as often as they occur, and a null key is
+    ``start_words`` bounds, in expectation, the sample that the weights start from; they are then fitted on all training
+    rows. Null texts count as empty: one token, the end. Repeated rows come out as often as they occur, and a null key is
     never held out. Columns other than the two named are not read; an empty table gives no rows; without training rows
     all words are unknown and the model is that of its smoothing alone.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), held_out(F.col(key)).alias("held_out"))
     train = rows.where(~F.col("held_out"))
-    words, _ = materialise(count_words(train, "_text"), "words")
+    words, words_path = materialise(count_words(train, "_text"), "words")
     ends = train.count()
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    running = n
     n, v = n + ends, v + (ends > 0)
     denominator = n + ALPHA * (v + 1)
+    starts = word_starts(ranks_path)
+    nodes, nodes_path = count_nodes(words, ranks_path)
+    firsts, inner, lasts = np.zeros(VOCABULARY), np.zeros(VOCABULARY), np.zeros(VOCABULARY)
+    for r in nodes.groupBy("id", (F.col("parent") == 0).alias("root")).agg(F.sum("passing").alias("n"), F.sum("ending").alias("e")).collect():
+        (firsts if r["root"] else inner)[r["id"]] += r["n"]
+        if not r["root"]:
+            lasts[r["id"]] += r["e"]
+    firsts[END] = ends
+    pairs, pairs_path, *told_of = count_pairs(nodes)
+    inside = Inside(inner, running, starts, *told_of)
     # the least count of which no more than HEAD words are that frequent
     least, total = None, 0
     for r in words.groupBy("c").count().orderBy(F.desc("c")).limit(HEAD).collect():
@@ -791,48 +644,49 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
         if total > HEAD:
             break
         least = r["c"]
-    head = {} if least is None else {bytes(r["w"]): r["c"] for r in words.where(F.col("c") >= least).collect()}
-    nodes, _ = count_nodes(words, ranks_path)
-    scorer = fit(train, nodes, head, key, "_text", ends, ranks_path)
-    logs = {w: float(np.log10((c + ALPHA) / denominator)) for w, c in head.items()}
-    shared = spark.sparkContext.broadcast((scorer, logs))
+    frequent = words.where(F.col("c") >= least if least is not None else F.lit(False)).withColumn("k", F.xxhash64("w"))
+    head = frequent.join(look_up(frequent, nodes, pairs, inside, ranks_path), "k").select("w", "c", "inner").toArrow()
+    head_words = [bytes(w) for w in head.column("w").to_pylist()]
+    head_first, head_last = word_ends(cutter(ranks_path)(head_words), starts)
+    head_logs = np.log10((head.column("c").to_numpy() + ALPHA) / denominator)
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(head_words)}, head_logs, head.column("inner").to_numpy(), head_first, head_last))
     end_log = float(np.log10((ends + ALPHA) / denominator))
-    tail_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64()), ("p", pa.list_(pa.float32()))]))
+    tail_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
 
     def start():
-        model, known = shared.value
-        return model, known, cutter(ranks_path)
+        return *shared.value, cutter(ranks_path), word_starts(ranks_path)
 
     def run(state, batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, known, cut = state
-        count, sure, base, tails, scores = [], [], [], [], []
+        known, logs, inners, first_of, last_of, cut, begins = state
+        count, sure, base, inner, tails, ids = [], [], [], [], [], []
 
         def finish(texts: list[list[bytes]]) -> None:
             words = list(chain.from_iterable(texts))
             number = {w: i for i, w in enumerate(dict.fromkeys(words))}
             which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
             distinct, sizes = list(number), np.array([len(t) for t in texts])
-            logs = np.array([known.get(w, np.nan) for w in distinct])
-            ids = np.append(cut(distinct), END)
-            score, numbers, begin = model.score_apart(ids, which, sizes, np.isnan(logs))
-            scores.extend(score.tolist())
-            logs = logs[which] if words else np.zeros(0)
-            rare = np.isnan(logs)
+            place = np.array([known.get(w, -1) for w in distinct], np.int64)
+            rare = np.flatnonzero(place < 0)
+            first, last = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+            some = place >= 0
+            first[some], last[some] = first_of[place[some]], last_of[place[some]]
+            first[rare], last[rare] = word_ends(cut([distinct[i] for i in rare.tolist()]), begins)
+            own, own_inner = np.zeros(len(distinct)), np.zeros(len(distinct))
+            own[some], own_inner[some] = logs[place[some]], inners[place[some]]
             text = np.repeat(np.arange(len(texts)), sizes)
-            base.extend((end_log + np.bincount(text, np.where(rare, 0, logs), len(texts))).tolist())
-            sure.extend((sizes - np.bincount(text, rare, len(texts)).astype(int) + (ends > 0)).tolist())
+            base.extend((end_log + np.bincount(text, own[which], len(texts))).tolist())
+            inner.extend(np.bincount(text, own_inner[which], len(texts)).tolist())
+            sure.extend((np.bincount(text, some[which], len(texts)).astype(int) + (ends > 0)).tolist())
             count.extend((sizes + 1).tolist())
-            # a text's occurrences of a word together, each with the model's numbers at its ids after the first and after it
-            at = np.flatnonzero(rare)
-            at = at[np.lexsort((which[at], text[at]))]
-            new = np.flatnonzero(np.diff(text[at] * (len(distinct) + 1) + which[at], prepend=-1))
-            n = np.diff(np.append(new, len(at)))
-            long = np.diff(np.flatnonzero(model.starts[ids]))[which[at]] if len(at) else np.zeros(0, np.int64)
-            before = np.cumsum(long) - long
-            p = numbers[np.repeat(begin[at] + 1 - before, long) + np.arange(int(long.sum()))]
-            cuts = np.append(before[new], long.sum()).astype(np.int32)
-            told = pa.StructArray.from_arrays([pa.array([distinct[k] for k in which[at[new]].tolist()], pa.binary()), pa.array(n), pa.ListArray.from_arrays(pa.array(cuts), pa.array(p, pa.float32()))], fields=list(tail_type.value_type))
-            tails.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(text[at[new]], minlength=len(texts)))).astype(np.int32)), told).cast(tail_type))
+            both = np.stack((first[which], last[which]), axis=1).astype("<u2")
+            cuts = np.append(0, np.cumsum(sizes)).tolist()
+            ids.extend(both[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False))
+            # a text's occurrences of a rare word together
+            at = np.flatnonzero(~some[which])
+            pairs, times = np.unique(text[at] * max(len(distinct), 1) + which[at], return_counts=True)
+            owner, word = np.divmod(pairs, max(len(distinct), 1))
+            told = pa.StructArray.from_arrays([pa.array([distinct[k] for k in word.tolist()], pa.binary()), pa.array(times.astype(np.int64))], fields=list(tail_type.value_type))
+            tails.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts)))).astype(np.int32)), told).cast(tail_type))
 
         waiting: list[list[bytes]] = []
         size = 0
@@ -844,36 +698,49 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
                 waiting, size = [], 0
         if waiting:
             finish(waiting)
-        return pa.record_batch(
-            [*(batch.column(i) for i in range(3)), pa.array(count, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.concat_arrays(tails)],
-            names=["_row", key, "held_out", "n_tokens", "sure", "base", "score", "tail"],
-        )
+        out = [pa.array(count, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64()), pa.concat_arrays(tails), pa.array(ids, pa.binary())]
+        return pa.record_batch([*(batch.column(i) for i in range(3)), *out], names=["_row", key, "held_out", "n_tokens", "sure", "base", "inner", "tail", "ids"])
 
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), key, "held_out", "_text")
-    kind = dict(docs.dtypes)[key]
-    scored = by_batch(numbered, run, f"_row long, `{key}` {kind}, held_out boolean, n_tokens long, sure long, base double, score double, tail array<struct<w:binary,n:long,p:array<float>>>", start=start)
-    scored, _ = materialise(scored, "scored")
-    tail = scored.select("_row", F.explode("tail").alias("x")).select("_row", "x.w", "x.n", "x.p")
+    same = f"_row long, `{key}` {dict(docs.dtypes)[key]}, held_out boolean, n_tokens long, sure long, base double"
+    cut_rows = by_batch(numbered, run, f"{same}, inner double, tail array<struct<w:binary,n:long>>, ids binary", start=start)
+    cut_rows, _ = materialise(cut_rows, "cut")
+    model = fit(cut_rows.where(~F.col("held_out")), firsts, lasts, running, start_words, ranks_path)
+
+    tail = cut_rows.select("_row", F.explode("tail").alias("x")).select("_row", "x.w", "x.n")
     rare = tail.select("w").distinct().join(words, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c"), F.xxhash64("w").alias("k"))
-    rare, _ = materialise(rare, "rare")
-    known_words = rare.join(look_up(rare, nodes, ranks_path), "k").select("w", "c", "nodes")
-    told = tail.join(known_words, "w").select("_row", "n", "c", "p", "nodes.passing", "nodes.ending", "nodes.kinds")
-
-    def parts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [np.asarray(c.flatten()) for c in batch.columns[3:]]
-        off = [(c.offsets.to_numpy() - c.offsets[0].as_py()).tolist() for c in batch.columns[3:]]
-        out = []
-        for i in range(batch.num_rows):
-            q, *t = (x[o[i] : o[i + 1]] for x, o in zip(own, off, strict=True))
-            out.append(tree_part(q, len(t[0]), *t))
-        return pa.record_batch([*batch.columns[:3], pa.array(out, pa.float64())], names=["_row", "n", "c", "part"])
-
-    told = by_batch(told, parts, "_row long, n long, c long, part double")
+    rare, rare_path = materialise(rare, "rare")
+    told = tail.join(rare.join(look_up(rare, nodes, pairs, inside, ranks_path), "k").select("w", "c", "inner"), "w")
     sums = told.groupBy("_row").agg(
-        F.sum(F.col("n") * F.log10((F.col("c") + ALPHA) / F.lit(denominator))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("hits"), F.sum("part").alias("part")
+        F.sum(F.col("n") * F.log10((F.col("c") + ALPHA) / F.lit(denominator))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("hits"), F.sum(F.col("n") * F.col("inner")).alias("rest")
     )
-    out = scored.drop("tail").join(sums, "_row", "left")
-    return out.select(
+    sums, _ = materialise(sums, "rare-sums")
+    release(spark, words_path, nodes_path, pairs_path, rare_path)
+    weights = spark.sparkContext.broadcast(model)
+
+    def attend(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first, last, sizes = read_ids(batch.column(7))
+        score, at, word = [], 0, 0
+        while at < len(sizes):  # some texts at a time
+            to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), GROUP_WORDS)) + at)
+            n = int(sizes[at:to].sum())
+            score.append(weights.value.score(first[word : word + n], last[word : word + n], sizes[at:to]))
+            at, word = to, word + n
+        return pa.record_batch([*batch.columns[:6], pa.array(np.concatenate(score) + batch.column(6).to_numpy())], names=[*batch.schema.names[:6], "score"])
+
+    scored = by_batch(cut_rows.select("_row", key, "held_out", "n_tokens", "sure", "base", "inner", "ids"), attend, f"{same}, score double")
+    return scored.join(sums, "_row", "left").select(
         key, "held_out", "n_tokens", (F.col("sure") + F.coalesce("hits", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("part", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
+
+
+def fit(ids: DataFrame, firsts: np.ndarray, lasts: np.ndarray, words: int, start_words: int, ranks_path: str | None) -> Model:
+    """The model of all training rows (``ids``: their words' first and last ids)."""
+    places, starts = Places(firsts, lasts), word_starts(ranks_path)
+    if not firsts[END]:
+        return Model(places, firsts, (np.zeros(0, np.int64), np.zeros(0)), starts)
+    model = Model(places, firsts, count_neighbours(ids, places), starts)
+    start_weights(model, ids, words, start_words)
+    refine(model, ids)
+    return model
