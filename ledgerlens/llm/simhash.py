@@ -186,11 +186,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return fps.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(_row, _doc) of each row, written: a number and all columns in a struct, so that no name of theirs can clash."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "rows")
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest key, with all its columns. A null key comes after all others;
-    of rows with the same key in a component any one stays."""
-    rows, _ = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    fps, fps_path = materialise(fingerprints(rows, "_row", text), "simhash")
+    """One document of each component, that with the smallest key, with all its columns.
+
+    Null and empty texts have fingerprint zero and are linked like any other. A null key comes after all others; of rows
+    with the same key in a component any one stays, and rows of different components stay whatever their keys. Columns
+    may have any names; an empty table gives no rows.
+    """
+    rows, _ = numbered(docs)
+    fps, fps_path = materialise(fingerprints(rows.select("_row", F.col("_doc").getField(text).alias("_text")), "_row", "_text"), "simhash")
     distinct, path = materialise(fps.select("fp").distinct(), "simhash-distinct")
     nodes, paths = components(link_pairs(distinct))
     kept = first_rows(rows, fps.withColumnRenamed("fp", "node"), nodes, key)
@@ -199,8 +208,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def first_rows(rows: DataFrame, of: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """rows: documents and ``_row``; of: ``_row`` and the node it stands at; nodes: node and root of the nodes with an edge."""
-    placed = of.join(nodes, "node", "left").select("_row", F.coalesce("root", "node").alias("root")).join(rows.select("_row", F.col(key).alias("_key")), "_row")
+    """rows: as ``numbered`` gives them; of: ``_row`` and the node it stands at; nodes: node and root of the nodes with an edge."""
+    keys = rows.select("_row", F.col("_doc").getField(key).alias("_key"))
+    placed = of.join(nodes, "node", "left").select("_row", F.coalesce("root", "node").alias("root")).join(keys, "_row")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "_row")).alias("f")).select(F.col("f._row").alias("_row"))
     first, _ = materialise(first, "first")
-    return rows.join(first, "_row", "left_semi").drop("_row")
+    return rows.join(first, "_row", "left_semi").select("_doc.*")
