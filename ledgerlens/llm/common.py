@@ -23,6 +23,8 @@ BATCH_BYTES = 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,7 +71,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> tuple[DataFrame, list[str]]:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, list[str]]:
     """Connected components by alternating large-star and small-star steps.
 
     Every step is an aggregate (partial on the map side) and a join that AQE can split where a vertex has very many
@@ -80,9 +82,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, path = materialise(e, "edges")
     stats = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(rounds):
-        if not stats[0]:
-            break
+    while stats[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -96,7 +96,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         if now == stats:
             break
         stats = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), [path]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from functools import lru_cache
 
@@ -27,6 +28,10 @@ OPEN = 128  # windows that a partition keeps open
 GROUP = 4096  # open windows, about, that one task merges
 END = 0  # id after each document
 MERGED = 1 << 62  # sequence ids of merged windows start here
+SPACES = 20_000  # runs of white space from this length are cut off before the vocabulary's pattern, whose matcher fails on very long ones
+#: The characters that the pattern takes for white space.
+_WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACES = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{SPACES},}}+")
 
 
 @lru_cache(maxsize=2)
@@ -43,7 +48,19 @@ def encoder(ranks_path: str | None = None):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     special = {"<|endoftext|>": 50256}
     enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: enc.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < SPACES or not (runs := list(_SPACES.finditer(text))):
+            return enc.encode_to_numpy(text, allowed_special="all")
+        out, at = [], 0
+        for m in runs:
+            # the pattern makes one piece of a run of spaces, without its last one where something else follows
+            end = m.end() - (m.end() < len(text))
+            out += [enc.encode_to_numpy(text[at : m.start()], allowed_special="all"), np.array(enc._core_bpe.encode_single_piece(text[m.start() : end].encode()), np.uint32)]
+            at = end
+        return np.concatenate([*out, enc.encode_to_numpy(text[at:], allowed_special="all")])
+
+    return encode
 
 
 class Windows:
