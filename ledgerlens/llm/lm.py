@@ -2,16 +2,16 @@
 
 A text's tokens are its words and one end. The model reads each word as its first and its last subword id and predicts,
 by causal self-attention over the words before (one head, relative positions, a hidden layer, a softmax in two levels),
-the first subword of the next word, or the end; so each token is scored once. The further subwords of a word follow the
-subword tree of all the corpus's words, with Witten-Bell weights towards what follows a subword in all words. The whole is
-a proper distribution over sequences of ids.
+the first subword of the next word, or the end; so each token is scored once. Which word it is, given its first subword, comes
+from the counts of all the corpus's words, with Witten-Bell weights towards the words' spelling in pairs of subwords. The
+whole is a proper distribution over sequences of ids.
 
-Everything but the start of the weights comes from all training rows: word and subword counts, the tree, the classes of
+Everything but the start of the weights comes from all training rows: word, subword and pair counts, the classes of
 first subwords and the subwords' vectors (both from what stands beside them), and the weights, which start from a small
 sample and are then fitted on every window of every training row, in tasks whose weights are averaged.
 
 Texts are scored in overlapping windows, batched over documents: each window sees WINDOW tokens, masked causally, and
-scores the last STRIDE of them. What depends on a word alone (its smoothed unigram, its place in the tree) is looked up:
+scores the last STRIDE of them. What depends on a word alone (its smoothed unigram, its spelling) is looked up:
 frequent words in a broadcast table of at most HEAD words, all others by a shuffle, so no vocabulary has to fit
 anywhere and HEAD has no effect on the scores.
 """
@@ -40,8 +40,9 @@ WIDTH_FIRST, WIDTH_LAST, HIDDEN = 16, 8, 32
 WIDTH = WIDTH_FIRST + WIDTH_LAST
 OWN_CLASS, SHARED_CLASSES, SLOTS = 256, 32, 17  # classes of one subword, of several; classes of a group of the softmax
 EMBEDDED = 4096  # subwords with a vector of their own; others share one
+PAIRED = 2048  # subwords that are told apart in pairs
 MARKS = 128  # subwords that are told apart as neighbours
-STEPS, BATCH = 400, 128
+STEPS, BATCH = 300, 256
 BACKGROUND = 0.02  # weight of the classes' plain rates beside the model's
 ALPHA = 0.1
 FLUSH = 200_000  # distinct words that a counting task holds before it emits them
@@ -114,27 +115,6 @@ def word_ends(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[at], np.where(end > at, ids[end], NONE)
 
 
-@lru_cache(maxsize=1)
-def _marks() -> np.ndarray:
-    return np.random.default_rng(5).integers(0, 1 << 64, VOCABULARY, np.uint64) | np.uint64(1)
-
-
-def node_keys(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words' ids one after the other: the key of each id's node in the tree of all words (a 64-bit hash of its word's
-    ids up to it, never 0), where words begin, and their sizes."""
-    first = np.flatnonzero(starts[ids])
-    size = np.append(first[1:], len(ids)) - first
-    inner = np.arange(len(ids)) - np.repeat(first, size)
-    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
-    each = _marks()[ids] * power[inner]
-    total = np.cumsum(each, dtype=np.uint64)
-    h = total - np.repeat(total[first] - each[first], size)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h = (h ^ (h >> np.uint64(31))).view(np.int64)
-    return np.where(h == 0, 1, h), first, size
-
-
 # --- the model --------------------------------------------------------------------------------------------------
 
 
@@ -396,7 +376,7 @@ class Model:
         return int((t >= 0).sum())
 
     def score(self, first: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each text's first ids and end; the words' further ids come from the tree."""
+        """log10 probability of each text's first ids and end; which words they begin is for ``Spelling``."""
         if not len(sizes):
             return np.zeros(0)
         a, b, t, place = self.lay(first, last, sizes)
@@ -412,35 +392,54 @@ class Model:
         return np.add.reduceat(np.log10(p), ends - sizes - 1)
 
 
-class Inside:
-    """The words' further subwords: the tree's counts, smoothed towards what follows the subword before in the words' kinds,
-    and that towards the rate of each subword inside words. A word's end is one of the things that follow."""
+class Spelling:
+    """Words given their first id: each word's own count, with Witten-Bell weight towards its spelling, which is the chain of
+    its ids' pairs, as often as they stand in different words, smoothed towards the rate of each id inside words. Ids that
+    are not among the PAIRED most frequent share a row and a column. A word's end is the last id's last pair."""
 
-    def __init__(self, inner: np.ndarray, words: float, starts_word: np.ndarray, total: np.ndarray, kinds: np.ndarray, ends: np.ndarray):
-        """inner: counts of ids inside words; of each id: nodes that follow it and ends after it (total), how many of them
-        differ (kinds), and ends alone."""
+    def __init__(self, counts: np.ndarray, starts_word: np.ndarray):
+        """counts: as ``count_ids`` gives them."""
+        self.starts = starts_word
+        self.total, self.kinds = counts[0].astype(np.float64), counts[1].astype(np.float64)
+        inner = np.where(starts_word, 0, counts[2])
+        self.row = numbering(counts[0] + inner, PAIRED)
+        self.column = numbering(np.where(starts_word, -1, inner), PAIRED - 1) + 1  # column 0: the end
         mass = np.where(starts_word, 0, inner + ALPHA)
-        whole = mass.sum() + words + ALPHA
-        self.rate, self.end = mass / whole, (words + ALPHA) / whole
-        self.total, self.kinds, self.ends = total, kinds, ends
-
-    def base(self, before: np.ndarray, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Of each id after the id before it; ``pairs``: nodes of that pair. END stands for the word's end."""
-        rate = np.where(ids == END, self.end, self.rate[ids])
-        whole = self.total[before] + self.kinds[before]
-        return np.where(whole > 0, (pairs + self.kinds[before] * rate) / np.maximum(whole, 1), rate)
-
-    def logs(self, ids: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, passing: np.ndarray, ending: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """log10 probability, after its first id, of each of the words whose ids (``sizes`` each) stand one after the other
-        with their nodes' numbers, all zero for an id that is not in the tree, and ``pairs`` with the id before."""
-        if not len(sizes):
+        whole = np.bincount(self.column[~starts_word], mass[~starts_word], PAIRED)
+        whole[0] = counts[0].sum() + ALPHA
+        self.share, self.rate = mass / whole[self.column], whole / whole.sum()
+        self.learn(np.zeros(PAIRED * PAIRED))
+
+    def cells(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell of each id with the one after it or the end, that id's column, whether it is the end) of words' ids one after the other."""
+        then = np.append(ids[1:], END)
+        end = np.append(self.starts[ids[1:]], True)[: len(ids)]
+        then = then[: len(ids)]
+        column = np.where(end, 0, self.column[then])
+        return self.row[ids] * PAIRED + column, column, end
+
+    def learn(self, table: np.ndarray) -> None:
+        table = table.reshape(PAIRED, PAIRED)
+        kinds = (table > 0).sum(axis=1, keepdims=True)
+        whole = table.sum(axis=1, keepdims=True) + kinds
+        p = np.where(whole > 0, (table + kinds * self.rate) / np.maximum(whole, 1), self.rate)
+        self.pairs = np.log10(np.maximum(p, 1e-30)).astype(np.float32).ravel()
+
+    def chain(self, ids: np.ndarray) -> np.ndarray:
+        """log10 probability of the spelling after its first id of each of the words whose ids stand one after the other."""
+        if not len(ids):
             return np.zeros(0)
-        last = np.cumsum(sizes) - 1
-        then, follow, pair = np.append(ids[1:], 0), np.append(passing[1:], 0).astype(np.float64), np.append(pairs[1:], 0)
-        then[last], follow[last], pair[last] = END, ending[last], self.ends[ids[last]]
-        base = self.base(ids, then, pair)
-        p = np.where(passing > 0, (follow + kinds * base) / np.maximum(passing + kinds, 1), base)
-        return np.add.reduceat(np.log10(p), last - sizes + 1)
+        cell, _, end = self.cells(ids)
+        then = np.append(ids[1:], END)
+        p = self.pairs[cell] + np.where(end, 0, np.log10(np.maximum(self.share[then], 1e-300)))
+        return np.add.reduceat(p, np.flatnonzero(self.starts[ids]))
+
+    def logs(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of each word given its first id, from its count."""
+        first = ids[self.starts[ids]]
+        whole, kinds = self.total[first], self.kinds[first]
+        spelt = 10.0 ** np.maximum(self.chain(ids), -300)
+        return np.log10(np.where(whole > 0, (counts + kinds * spelt) / np.maximum(whole + kinds, 1), spelt))
 
 
 # --- the operator -----------------------------------------------------------------------------------------------
@@ -473,74 +472,51 @@ def count_words(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(text).mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def count_nodes(words: DataFrame, ranks_path: str | None) -> tuple[DataFrame, str]:
-    """The tree of all counted words, written: (key, parent, before, id, passing, ending, kinds) of each node; ``before`` is the
-    parent's id. ``kinds`` is how many ids, or the end, follow it."""
+def count_ids(words: DataFrame, ranks_path: str | None) -> np.ndarray:
+    """Of each id: occurrences of words that begin with it, such words, its occurrences inside words, and words' ends after it there."""
     small_batches(words.sparkSession)
 
     def run(batches):
         cut, starts = cutter(ranks_path), word_starts(ranks_path)
+        total = np.zeros((4, VOCABULARY), np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, c = cut(b.column(0).to_pylist()), b.column(1).to_numpy()
-            keys, first, size = node_keys(ids, starts)
-            parent = np.append(0, keys[:-1])
-            parent[first] = 0
-            before = np.append(0, ids[:-1])
-            before[first] = END
-            ends = np.zeros(len(ids), np.int64)
-            ends[first + size - 1] = c
-            yield pa.record_batch([pa.array(x) for x in (keys, parent, before.astype(np.int32), ids.astype(np.int32), np.repeat(c, size), ends)], names=["key", "parent", "before", "id", "passing", "ending"])
-
-    each = words.select("w", "c").mapInArrow(run, "key long, parent long, before int, id int, passing long, ending long")
-    plain = each.groupBy("key").agg(F.min("parent").alias("parent"), F.min("before").alias("before"), F.min("id").alias("id"), F.sum("passing").alias("passing"), F.sum("ending").alias("ending"))
-    plain, path = materialise(plain, "nodes-plain")
-    below = plain.where("parent <> 0").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("below"))
-    nodes = plain.join(below, "key", "left").withColumn("kinds", F.coalesce("below", F.lit(0)) + (F.col("ending") > 0).cast("long")).drop("below")
-    nodes, nodes_path = materialise(nodes, "nodes")
-    release(words.sparkSession, path)
-    return nodes, nodes_path
-
-
-def count_pairs(nodes: DataFrame) -> tuple[DataFrame, str, np.ndarray, np.ndarray, np.ndarray]:
-    """(before, id, pairs): how many nodes have that id after that one, written; its path; and of each id what ``Inside`` takes."""
-    pairs, path = materialise(nodes.where("parent <> 0").groupBy("before", "id").agg(F.count("*").alias("pairs")), "pairs")
-    total, kinds, ends = np.zeros(VOCABULARY), np.zeros(VOCABULARY), np.zeros(VOCABULARY)
-    for r in pairs.groupBy("before").agg(F.sum("pairs").alias("n"), F.count("*").alias("k")).collect():
-        total[r["before"]], kinds[r["before"]] = r["n"], r["k"]
-    for r in nodes.where("ending > 0").groupBy("id").count().collect():
-        ends[r["id"]] = r["count"]
-    return pairs, path, total + ends, kinds + (ends > 0), ends
-
-
-def look_up(words: DataFrame, nodes: DataFrame, pairs: DataFrame, inside: Inside, ranks_path: str | None) -> DataFrame:
-    """words: w, k (distinct). (k, inner): log10 probability of each word after its first id."""
-    shared = words.sparkSession.sparkContext.broadcast(inside)
+            if b.num_rows:
+                total += id_counts(cut(b.column(0).to_pylist()), b.column(1).to_numpy(), starts)
+        some = np.flatnonzero(total.any(axis=0))
+        yield pa.record_batch([pa.array(x) for x in (some, *total[:, some])], names=["id", *"abcd"])
+
+    out = np.zeros((4, VOCABULARY))
+    for r in words.select("w", "c").mapInArrow(run, "id long, a long, b long, c long, d long").groupBy("id").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect():
+        out[:, r["id"]] = r[1:]
+    return out
 
-    def start():
-        return cutter(ranks_path), word_starts(ranks_path)
 
-    def run(state, b: pa.RecordBatch) -> pa.RecordBatch:
-        cut, starts = state
-        ids = cut(b.column(0).to_pylist())
-        keys, first, size = node_keys(ids, starts)
-        inner = np.arange(len(keys)) - np.repeat(first, size)
-        before = np.append(0, ids[:-1])
-        before[first] = END  # no pair begins with it
-        return pa.record_batch([pa.array(np.repeat(b.column(1).to_numpy(), size)), *(pa.array(x.astype(np.int32)) for x in (inner, before, ids)), pa.array(keys)], names=["k", "at", "before", "id", "key"])
+def id_counts(ids: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of words' ids one after the other and the words' counts, what ``count_ids`` gives."""
+    first, last = word_ends(ids, starts)
+    begins = starts[ids]
+    each = counts[np.cumsum(begins) - 1]
+    some = last != NONE
+    return np.stack([np.bincount(x, n, VOCABULARY).astype(np.int64) for x, n in ((first, counts), (first, np.ones(len(first))), (ids[~begins], each[~begins]), (last[some], counts[some]))])
 
-    steps = by_batch(words.select("w", "k"), run, "k long, at int, before int, id int, key long", start=start)
-    value = [F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "passing", "ending", "kinds")]
-    found = steps.join(nodes.select("key", "passing", "ending", "kinds"), "key", "left").join(pairs, ["before", "id"], "left").select("k", "at", "id", *value)
-    path = found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "id", "pairs", "passing", "ending", "kinds"))).alias("n"))
 
-    def add(b: pa.RecordBatch) -> pa.RecordBatch:
-        off = b.column(1).offsets.to_numpy()
-        ids, pair, passing, ending, kinds = (x.to_numpy(zero_copy_only=False) for x in b.column(1).flatten().flatten()[1:])
-        return pa.record_batch([b.column(0), pa.array(shared.value.logs(ids, np.diff(off), pair, passing, ending, kinds))], names=["k", "inner"])
+def count_pairs(words: DataFrame, spelling: Spelling, ranks_path: str | None) -> None:
+    """Fills the spelling's table of pairs from all counted words; it has PAIRED rows and columns at most."""
+    small_batches(words.sparkSession)
+
+    def run(batches):
+        cut, total = cutter(ranks_path), np.zeros(PAIRED * PAIRED, np.int64)
+        for b in batches:
+            if b.num_rows:
+                cells, n = np.unique(spelling.cells(cut(b.column(0).to_pylist()))[0], return_counts=True)
+                total[cells] += n
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
-    return by_batch(path, add, "k long, inner double")
+    got = words.select("w").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(PAIRED * PAIRED)
+    table[got["cell"].to_numpy(np.int64)] = got["n"]
+    spelling.learn(table)
 
 
 def read_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -628,15 +604,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
     n, v = n + ends, v + (ends > 0)
     denominator = n + ALPHA * (v + 1)
     starts = word_starts(ranks_path)
-    nodes, nodes_path = count_nodes(words, ranks_path)
-    firsts, inner, lasts = np.zeros(VOCABULARY), np.zeros(VOCABULARY), np.zeros(VOCABULARY)
-    for r in nodes.groupBy("id", (F.col("parent") == 0).alias("root")).agg(F.sum("passing").alias("n"), F.sum("ending").alias("e")).collect():
-        (firsts if r["root"] else inner)[r["id"]] += r["n"]
-        if not r["root"]:
-            lasts[r["id"]] += r["e"]
+    counts = count_ids(words, ranks_path)
+    spelling = Spelling(counts, starts)
+    count_pairs(words, spelling, ranks_path)
+    firsts, lasts = counts[0].copy(), counts[3]
     firsts[END] = ends
-    pairs, pairs_path, *told_of = count_pairs(nodes)
-    inside = Inside(inner, running, starts, *told_of)
     # the least count of which no more than HEAD words are that frequent
     least, total = None, 0
     for r in words.groupBy("c").count().orderBy(F.desc("c")).limit(HEAD).collect():
@@ -644,12 +616,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
         if total > HEAD:
             break
         least = r["c"]
-    frequent = words.where(F.col("c") >= least if least is not None else F.lit(False)).withColumn("k", F.xxhash64("w"))
-    head = frequent.join(look_up(frequent, nodes, pairs, inside, ranks_path), "k").select("w", "c", "inner").toArrow()
-    head_words = [bytes(w) for w in head.column("w").to_pylist()]
-    head_first, head_last = word_ends(cutter(ranks_path)(head_words), starts)
-    head_logs = np.log10((head.column("c").to_numpy() + ALPHA) / denominator)
-    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(head_words)}, head_logs, head.column("inner").to_numpy(), head_first, head_last))
+    head = words.where(F.col("c") >= least if least is not None else F.lit(False)).toArrow()
+    head_words, head_counts = [bytes(w) for w in head.column("w").to_pylist()], head.column("c").to_numpy()
+    head_ids = cutter(ranks_path)(head_words)
+    head_logs = np.log10((head_counts + ALPHA) / denominator)
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(head_words)}, head_logs, spelling.logs(head_ids, head_counts), *word_ends(head_ids, starts)))
     end_log = float(np.log10((ends + ALPHA) / denominator))
     tail_type = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
 
@@ -708,14 +679,19 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
     model = fit(cut_rows.where(~F.col("held_out")), firsts, lasts, running, start_words, ranks_path)
 
     tail = cut_rows.select("_row", F.explode("tail").alias("x")).select("_row", "x.w", "x.n")
-    rare = tail.select("w").distinct().join(words, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c"), F.xxhash64("w").alias("k"))
-    rare, rare_path = materialise(rare, "rare")
-    told = tail.join(rare.join(look_up(rare, nodes, pairs, inside, ranks_path), "k").select("w", "c", "inner"), "w")
+    spelt = spark.sparkContext.broadcast(spelling)
+
+    def spell(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = cutter(ranks_path)(batch.column(0).to_pylist())
+        return pa.record_batch([*batch.columns, pa.array(spelt.value.logs(ids, batch.column(1).to_numpy()))], names=["w", "c", "inner"])
+
+    rare = tail.select("w").distinct().join(words, "w", "left").select("w", F.coalesce("c", F.lit(0)).alias("c"))
+    told = tail.join(by_batch(rare, spell, "w binary, c long, inner double"), "w")
     sums = told.groupBy("_row").agg(
         F.sum(F.col("n") * F.log10((F.col("c") + ALPHA) / F.lit(denominator))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("hits"), F.sum(F.col("n") * F.col("inner")).alias("rest")
     )
     sums, _ = materialise(sums, "rare-sums")
-    release(spark, words_path, nodes_path, pairs_path, rare_path)
+    release(spark, words_path)
     weights = spark.sparkContext.broadcast(model)
 
     def attend(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -210,26 +210,23 @@ def test_lm_first_subwords_are_a_distribution():
     assert (ending(*every, 4) < ending(first[None], last[None], 3)[0] + np.log10(whole) + 3).all()
 
 
-def test_lm_inside_words_is_a_distribution():
+def test_lm_spelling_is_a_distribution():
     cut, starts = lm.cutter(), lm.word_starts()
     c = Counter(w for t in LITTLE for w in t)
-    g = np.random.default_rng(2)
-    total, ends = g.integers(0, 9, lm.VOCABULARY).astype(float), np.zeros(lm.VOCABULARY)
-    ends[total > 4] = 2
-    kinds = np.where(total > 0, np.minimum(total, 3), 0)
-    inside = lm.Inside(np.where(starts, 0, g.integers(0, 50, lm.VOCABULARY)), sum(c.values()), starts, total, kinds, ends)
-    within = np.flatnonzero(~starts)
-    for before in (5, 6, 7, 1000):
-        pairs = np.zeros(lm.VOCABULARY)
-        left = int(total[before] - ends[before])
-        if left > 0:  # kinds: its end if it has one, and that many ids
-            some = within[: int(kinds[before] - (ends[before] > 0))]
-            pairs[some] = left / len(some) if len(some) else 0
-            if not len(some):
-                continue
-        follow = np.append(within, lm.END)
-        base = inside.base(np.full(len(follow), before), follow, np.append(pairs[within], ends[before]))
-        assert base.sum() == pytest.approx(1, abs=1e-6)
+    words, ids = list(c), cut(list(c))
+    spelling = lm.Spelling(lm.id_counts(ids, np.array(list(c.values())), starts), starts)
+    spelling.learn(np.bincount(spelling.cells(ids)[0], minlength=lm.PAIRED**2).astype(float))
+    rows = 10.0 ** spelling.pairs.reshape(lm.PAIRED, lm.PAIRED).astype(np.float64)
+    assert rows.sum(axis=1) == pytest.approx(np.ones(lm.PAIRED), abs=1e-4)
+    columns = np.bincount(spelling.column[~starts], spelling.share[~starts], lm.PAIRED)[1:]
+    assert columns[columns > 0] == pytest.approx(np.ones((columns > 0).sum()))
+    # given a first id: what its words have beyond their spelling is what its words' weight leaves to all spellings
+    first, _ = lm.word_ends(ids, starts)
+    logs, chain = 10 ** spelling.logs(ids, np.array(list(c.values()))), 10 ** spelling.chain(ids)
+    for f in set(first.tolist()):
+        left = spelling.kinds[f] / (spelling.total[f] + spelling.kinds[f])
+        assert (logs - left * chain)[first == f].sum() == pytest.approx(1 - left)
+    assert spelling.logs(cut([b"unseenword"]), np.zeros(1))[0] < 0 and words
 
 
 def test_lm_windows_do_not_depend_on_company():
