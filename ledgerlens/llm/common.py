@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch that goes to a Python worker. A batch also ends at BATCH_BYTES.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+#: Rows of a narrow table that is broadcast at most; a longer one is joined by a shuffle.
+BROADCAST = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,12 @@ def release(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for a broadcast where it has no more than BROADCAST rows (counted here if not given), else for a shuffle."""
+    rows = df.limit(BROADCAST + 1).count() if rows is None else rows
+    return F.broadcast(df) if rows <= BROADCAST else df.hint("merge")
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -15,13 +15,12 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialise
+from ledgerlens.llm.common import materialise, small
 
 SEED = 17
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # of all sizes, in total
 MOST = 2  # passes over a document
-BROADCAST = 100_000  # rows of patterns, or of documents at the seeded cut, that are broadcast; more of them are joined by a shuffle
 BITS, LEVELS = 12, 2  # of the hash, a histogram; after that the boundary cell is ordered itself
 
 
@@ -111,11 +110,6 @@ def flow(patterns: list[tuple[tuple, int]], quotas: dict, most: int = MOST) -> l
     return taken
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast where it has no more than BROADCAST rows, else left to a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST else df.hint("merge")
-
-
 def words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
