@@ -19,17 +19,16 @@ anywhere and HEAD has no effect on the scores.
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import by_batch, materialise, release, small_batches, text_bytes
+from ledgerlens.llm.common import by_batch, materialise, release, small_batches
 
 HEAD = 1 << 17  # words of the broadcast table at most
 START_WORDS = 200_000  # words, in expectation, of the training rows that the weights start from; all rows follow
@@ -45,9 +44,9 @@ MARKS = 128  # subwords that are told apart as neighbours
 STEPS, BATCH = 300, 256
 BACKGROUND = 0.02  # weight of the classes' plain rates beside the model's
 ALPHA = 0.1
-FLUSH = 200_000  # distinct words that a counting task holds before it emits them
+FLUSH = 400_000  # distinct words that a counting task holds before it emits them
 AT_ONCE = 256  # chunks that are in one pass, small enough for the processor's cache
-GROUP_BYTES = 2 << 20  # of texts that are cut together, about
+GROUP_BYTES = 8 << 20  # of texts that are cut together, about
 GROUP_WORDS = 400_000  # of texts that are scored together, about
 ONE_PIECE = 1 << 16  # bytes from which a word is one piece for the subword merges, whatever it holds
 
@@ -118,6 +117,16 @@ def word_ends(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 # --- the model --------------------------------------------------------------------------------------------------
 
 
+def powers(x: np.ndarray) -> np.ndarray:
+    """e to the power of x, in place; what would overflow is held."""
+    np.minimum(x, 60, out=x)
+    return np.exp(x, out=x)
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 class Attention:
     """Weights and passes over chunks of STRIDE places. Inputs are vectors of the tokens before, targets are classes.
 
@@ -165,9 +174,8 @@ class Attention:
         if empty.any():
             i, j = np.lib.stride_tricks.as_strided(empty, (n, WINDOW), (STRIDE * empty.strides[0], empty.strides[0])).nonzero()
             s[i, :, j] = -1e4
-        np.minimum(s, np.float32(60), out=s)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
+        powers(s)
+        s /= row_sums(s.reshape(-1, WINDOW)).reshape(n, STRIDE, 1) + np.float32(1e-30)
         mixed = s @ v
         u = np.ones((n * STRIDE, HIDDEN + 1), h.dtype)
         pre = mixed.reshape(-1, d) @ w["m"]
@@ -179,16 +187,16 @@ class Attention:
     def probability(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Of class t at each row of the hidden layer."""
         g, s = np.divmod(t, SLOTS)
-        p = u @ self.w["g"]
-        np.exp(p, out=p)
-        out = p[np.arange(len(t)), g] / p.sum(axis=1)
         order = np.argsort(g, kind="stable")
-        bounds = np.searchsorted(g[order], np.arange(len(self.w["s"]) + 1))
+        u, g, s = u[order], g[order], s[order]
+        bounds, at = np.searchsorted(g, np.arange(len(self.w["s"]) + 1)), np.arange(len(t))
+        among, within = powers(u @ self.w["g"]), np.empty((len(t), SLOTS), u.dtype)
         for i in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[i] : bounds[i + 1]]
-            p = u[own] @ self.w["s"][i]
-            np.exp(p, out=p)
-            out[own] *= p[np.arange(len(own)), s[own]] / p.sum(axis=1)
+            own = slice(bounds[i], bounds[i + 1])
+            np.matmul(u[own], self.w["s"][i], out=within[own])
+        powers(within)
+        out = np.empty(len(t), u.dtype)
+        out[order] = among[at, g] * within[at, s] / (row_sums(among) * row_sums(within))
         return out
 
     def gradients(self, a: np.ndarray, b: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
@@ -201,29 +209,23 @@ class Attention:
         order = np.argsort(tg, kind="stable")
         use, tg, ts = use[order], tg[order], ts[order]
         rows, scale = u[use], np.asarray(1 / max(len(use), 1), u.dtype)
-        p = rows @ w["g"]
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        at = np.arange(len(use))
-        loss = -np.log(p[at, tg] + 1e-30).sum()
-        p[at, tg] -= 1
-        p *= scale
-        grad = {"g": rows.T @ p, "s": np.zeros_like(w["s"])}
-        du = p @ w["g"].T
-        bounds = np.searchsorted(tg, np.arange(len(w["s"]) + 1))
-        for i in np.flatnonzero(np.diff(bounds)):
-            own = slice(bounds[i], bounds[i + 1])
-            p = rows[own] @ w["s"][i]
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            at = np.arange(len(p))
-            loss -= np.log(p[at, ts[own]] + 1e-30).sum()
-            p[at, ts[own]] -= 1
-            p *= scale
-            grad["s"][i] = rows[own].T @ p
-            du[own] += p @ w["s"][i].T
+        at, groups = np.arange(len(use)), np.arange(len(w["s"]))
+        bounds = np.searchsorted(tg, np.append(groups, len(groups)))
+        owns = [(i, slice(bounds[i], bounds[i + 1])) for i in np.flatnonzero(np.diff(bounds))]
+        among, within = powers(rows @ w["g"]), np.empty((len(use), SLOTS), u.dtype)
+        for i, own in owns:
+            np.matmul(rows[own], w["s"][i], out=within[own])
+        powers(within)
+        loss = 0.0
+        for p, t in ((among, tg), (within, ts)):  # probabilities, then their gradient
+            p *= (scale / row_sums(p))[:, None]
+            loss -= np.log(p[at, t] / scale + 1e-30).sum()
+            p[at, t] -= scale
+        grad = {"g": rows.T @ among, "s": np.zeros_like(w["s"])}
+        du = among @ w["g"].T
+        for i, own in owns:
+            grad["s"][i] = rows[own].T @ within[own]
+            du[own] += within[own] @ w["s"][i].T
         dpre = np.zeros((n * STRIDE, HIDDEN), u.dtype)
         dpre[use] = du[:, :-1] * (rows[:, :-1] > 0)
         grad["c"] = dpre.sum(axis=0)
@@ -231,7 +233,7 @@ class Attention:
         do = (dpre @ w["m"].T).reshape(n, STRIDE, d)
         dv = s.transpose(0, 2, 1) @ do
         ds = do @ v.transpose(0, 2, 1)
-        ds -= (ds * s).sum(axis=2, keepdims=True)
+        ds -= np.einsum("nij,nij->ni", ds, s)[:, :, None]
         ds *= s
         grad["r"] = np.bincount(self.gap.ravel(), (ds.sum(axis=0) * self.causal).ravel(), WINDOW).astype(u.dtype)
         dk = ds.transpose(0, 2, 1) @ q
@@ -449,25 +451,39 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def cut_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of texts, A-Z lower-cased and split at ASCII white space: how many each text has, the number of each of them one
+    after the other, and the distinct words by number. Null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    some = pc.not_equal(flat, "")
+    kept = some.to_numpy(zero_copy_only=False)
+    if not kept.all():  # white space at a text's edge leaves empty pieces
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        flat = flat.filter(some)
+    coded = flat.dictionary_encode()
+    return sizes, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
 def count_words(texts: DataFrame, text: str) -> DataFrame:
     """(w, c): how often each word occurs in all of ``texts``."""
     small_batches(texts.sparkSession)
 
     def run(batches):
-        seen: Counter = Counter()
+        waiting: list[pa.Table] = []
 
-        def emit():
-            out = pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "c"])
-            seen.clear()
-            return out
+        def merged() -> pa.Table:
+            return pa.concat_tables(waiting).group_by("w", use_threads=False).aggregate([("c", "sum")]).rename_columns(["w", "c"])
 
         for b in batches:
-            for t in text_bytes(b.column(0)):
-                seen.update(t.lower().split())
-                if len(seen) > FLUSH:
-                    yield emit()
-        if seen:
-            yield emit()
+            _, which, distinct = cut_texts(b.column(0))
+            waiting.append(pa.table({"w": distinct.cast(pa.binary()), "c": pa.array(np.bincount(which, minlength=len(distinct)).astype(np.int64))}))
+            if sum(t.num_rows for t in waiting) > 2 * FLUSH:
+                waiting = [merged()]
+                if waiting[0].num_rows > FLUSH:
+                    yield from waiting.pop().to_batches()
+        if waiting:
+            yield from merged().to_batches()
 
     return texts.select(text).mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -631,11 +647,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
         known, logs, inners, first_of, last_of, cut, begins = state
         count, sure, base, inner, tails, ids = [], [], [], [], [], []
 
-        def finish(texts: list[list[bytes]]) -> None:
-            words = list(chain.from_iterable(texts))
-            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-            which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            distinct, sizes = list(number), np.array([len(t) for t in texts])
+        def finish(texts: pa.Array) -> None:
+            sizes, which, found = cut_texts(texts)
+            distinct = found.cast(pa.binary()).to_pylist()
             place = np.array([known.get(w, -1) for w in distinct], np.int64)
             rare = np.flatnonzero(place < 0)
             first, last = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
@@ -659,16 +673,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_
             told = pa.StructArray.from_arrays([pa.array([distinct[k] for k in word.tolist()], pa.binary()), pa.array(times.astype(np.int64))], fields=list(tail_type.value_type))
             tails.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts)))).astype(np.int32)), told).cast(tail_type))
 
-        waiting: list[list[bytes]] = []
-        size = 0
-        for t in text_bytes(batch.column(3)):
-            waiting.append(t.lower().split())
-            size += len(t)
-            if size > GROUP_BYTES:
-                finish(waiting)
-                waiting, size = [], 0
-        if waiting:
-            finish(waiting)
+        at, ends_of = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < batch.num_rows:  # some texts at a time
+            to = max(at + 1, int(np.searchsorted(ends_of, (ends_of[at - 1] if at else 0) + GROUP_BYTES)))
+            finish(batch.column(3).slice(at, to - at))
+            at = to
         out = [pa.array(count, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64()), pa.concat_arrays(tails), pa.array(ids, pa.binary())]
         return pa.record_batch([*(batch.column(i) for i in range(3)), *out], names=["_row", key, "held_out", "n_tokens", "sure", "base", "inner", "tail", "ids"])
 

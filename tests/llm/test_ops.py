@@ -125,6 +125,15 @@ def test_lm_base_is_exact(spark, docs, odd, monkeypatch):
             assert all(r.score < 0 and r.held_out == (k is not None and zlib.crc32(str(k).encode()) % 10 == 0) for r in got[k])
 
 
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(" \t\n\x0b\x0c\r\x1c\x1f\x85\u00a0\u3000AbZ\u00c9\u0130"), max_size=12)), min_size=1, max_size=6))
+def test_words_are_cut_as_the_contract_says(texts):
+    import pyarrow as pa
+
+    sizes, which, distinct = lm.cut_texts(pa.array(texts, pa.string()))
+    assert sizes.tolist() == [len(words_of(t)) for t in texts]
+    assert [distinct[i].as_py() for i in which.tolist()] == [w for t in texts for w in words_of(t)] and len(set(distinct.to_pylist())) == len(distinct)
+
+
 def test_lm_scores_do_not_depend_on_the_broadcast_part(spark, docs, monkeypatch):
     d = docs.select("doc_id", "text")
     whole = {r.doc_id: r.score for r in lm.score_texts(d).collect()}
