@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import queries_extract, queries_language, queries_metrics, queries_more, queries_retrieval  # noqa: F401  (they register)
+from ledgerlens.plans import queries_answers, queries_extract, queries_language, queries_metrics, queries_more, queries_retrieval  # noqa: F401  (they register)
 from ledgerlens.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -32,28 +32,63 @@ def growth(this: Column, last: Column) -> Column:
     return F.when(last != 0, (this - last) / last * 100)
 
 
-def group_mean(value: str, *by: str) -> Column:
-    w = Window.partitionBy(*by)
-    return F.sum(value).over(w).cast("double") / F.count(value).over(w)
+def group_mean(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """Adds the group's mean; an aggregate and a join, so that few groups do not mean few tasks."""
+    return df.join(df.groupBy(*by).agg((F.sum(value).cast("double") / F.count(value)).alias(name)), by, "left")
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Descending rank with ties at their average, truncated; null for null."""
-    w = Window.partitionBy(*by).orderBy(F.desc(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return F.when(F.col(value).isNotNull(), (F.rank().over(w) + (ties - 1) / 2).cast("int"))
+def average_rank(df: DataFrame, value: str, by: list[str], name: str, buckets: int = 64) -> DataFrame:
+    """Adds the descending rank within the groups, ties at their average, truncated; null for null.
+
+    Each group's values are cut at approximate quantiles, so equal values share a bucket whatever the cuts; a row's rank is
+    what the buckets above hold and its rank in its own. No task sorts more than a bucket, however few the groups.
+    """
+    cuts = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    x = df.join(cuts, by, "left").withColumn("_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c > F.col(value))), F.lit(-1))).drop("_cuts")
+    held = x.where(F.col(value).isNotNull()).groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    above = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.join(held.select(*by, "_bucket", above.alias("_above")), [*by, "_bucket"], "left")
+    ties = F.count("*").over(Window.partitionBy(*by, "_bucket", value))
+    own = F.rank().over(Window.partitionBy(*by, "_bucket").orderBy(F.desc(value)))
+    return x.withColumn(name, F.when(F.col(value).isNotNull(), (F.col("_above") + own + (ties - 1) / 2).cast("int"))).drop("_bucket", "_above")
 
 
 #: The ratio catalogue, name -> formula over items of a company's year.
 RATIOS = {
-    "discount_rate": "(gross - net) / gross",
-    "tax_rate": "tax / net",
-    "unit_price": "gross / quantity",
-    "net_per_order": "net / n_lines",
-    "tax_to_discount": "tax / (gross - net)",
+    "营业成本率": "营业成本/营业收入",
+    "投资收益占营业收入比率": "投资收益/营业收入",
+    "管理费用率": "管理费用/营业收入",
+    "财务费用率": "财务费用/营业收入",
+    "三费比重": "(销售费用+管理费用+财务费用)/营业收入",
+    "企业研发经费占费用比例": "研发费用/(销售费用+财务费用+管理费用+研发费用)",
+    "企业研发经费与利润比值": "研发费用/净利润",
+    "企业研发经费与营业收入比值": "研发费用/营业收入",
+    "研发人员占职工人数比例": "研发人员人数/职工总人数",
+    "企业硕士及以上人员占职工人数比例": "(硕士员工人数+博士及以上的员工人数)/职工总人数",
+    "毛利率": "(营业收入-营业成本)/营业收入",
+    "营业利润率": "营业利润/营业收入",
+    "流动比率": "流动资产/流动负债",
+    "速动比率": "(流动资产-存货)/流动负债",
+    "资产负债比率": "总负债/资产总额",
+    "现金比率": "货币资金/流动负债",
+    "非流动负债比率": "非流动负债/总负债",
+    "流动负债比率": "流动负债/总负债",
+    "净利润率": "净利润/营业收入",
 }
+#: Ratios that are told as numbers; all others are told in percent.
+PLAIN_RATIOS = ("企业研发经费占费用比例", "企业研发经费与利润比值", "企业研发经费与营业收入比值", "研发人员占职工人数比例", "企业硕士及以上人员占职工人数比例", "流动比率", "速动比率")
+#: The items that the catalogue's formulas name, each once.
+RATIO_ITEMS = tuple(dict.fromkeys(m for f in RATIOS.values() for m in re.findall(r"[^\W\d]\w*", f)))
+
+
+def told_ratio(name: str, value: Column) -> Column:
+    """A ratio as text with two decimals, in percent where it is told so; null for null."""
+    if name in PLAIN_RATIOS:
+        return F.format_string("%.2f", value)
+    return F.when(value.isNotNull(), F.concat(F.format_string("%.2f", value * 100), F.lit("%")))
+
 
-_TOKEN = re.compile(r"\s*(?:([A-Za-z_][A-Za-z_0-9]*)|(\d+(?:\.\d+)?)|\{(\w+)\}|([-+*/()]))")
+_TOKEN = re.compile(r"\s*(?:([^\W\d]\w*)|(\d+(?:\.\d+)?)|\{(\w+)\}|([-+*/()]))")
 
 
 def compile_formula(formula: str) -> Column:
@@ -79,7 +114,7 @@ def compile_formula(formula: str) -> Column:
             raise ValueError("formula ends early")
         place += 1
         if t[1] or t[3]:
-            return F.col(t[1] or t[3]).cast("double")
+            return F.col(f"`{t[1] or t[3]}`").cast("double")
         if t[2]:
             return F.lit(float(t[2]))
         if t[4] == "-":

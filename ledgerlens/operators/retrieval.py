@@ -7,6 +7,8 @@ document bucket, then of a query.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,17 @@ K1, B = 1.5, 0.75
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-cased runs of letters and digits; a run of Han characters, which has no spaces, gives its overlapping pairs."""
+    parted = F.regexp_replace(text, r"(?<=\p{IsHan})(?=[\p{L}\p{N}&&[^\p{IsHan}]])|(?<=[\p{L}\p{N}&&[^\p{IsHan}]])(?=\p{IsHan})", " ")
+    han = text.rlike(r"\p{IsHan}")
+    words = F.filter(F.split(F.lower(F.when(han, parted).otherwise(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    pairs = lambda t: F.when(t.rlike(r"^\p{IsHan}{2}"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array(t))
+    return F.when(han, F.flatten(F.transform(words, pairs))).otherwise(words)
+
+
+def terms(spark, text: str) -> list[str]:
+    """A question's terms, cut as documents are, each once."""
+    return sorted(set(spark.range(1).select(tokens(F.lit(text)).alias("t")).first()["t"]))
 
 
 def top_k(scored: DataFrame, by: str, order: list[Column], k: int, key: str) -> DataFrame:
@@ -30,11 +42,17 @@ def bm25(docs: DataFrame, queries: list[tuple[int, list[str]]], k: int, key: str
     asked = sorted({t for _, q in queries for t in q})
     words = tokens(F.col(text))
     counted = docs.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), F.filter("w", lambda t: t.isin(*asked)).alias("hit"))
-    n, avg = counted.agg(F.count("*"), F.avg("dl")).first()
-    tf = counted.select(key, "dl", F.explode("hit").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = spark.createDataFrame([(i, t) for i, q in queries for t in q], "qid int, term string")
-    idf = F.broadcast(wanted.join(df, "term").withColumn("idf", F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+    # a term's frequency is counted where its text is read, so nothing is shuffled for it
+    counted = counted.select(key, "dl", F.transform(F.array_distinct("hit"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hit", lambda x: x == t)).alias("tf"))).alias("tf"))
+    # one pass for all figures of the corpus: a row without a term for each document, and one for each term it holds
+    every = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
+    marks = counted.select("dl", F.explode(F.concat(every, F.coalesce("tf", F.array().cast("array<struct<term:string,tf:int>>")))).alias("m"))
+    told = {r["term"]: r for r in marks.groupBy("m.term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"), F.count("dl").alias("k")).collect()}  # at most the terms asked for
+    whole = told.pop(None, None)
+    n, avg = (whole["n"], (whole["dl"] or 0) / (whole["k"] or 1)) if whole else (0, 1)
+    rows = [(i, t, math.log(1 + (n - told[t]["n"] + 0.5) / (told[t]["n"] + 0.5))) for i, q in queries for t in q if t in told]
+    idf = F.broadcast(spark.createDataFrame(rows, "qid int, term string, idf double"))
+    tf = counted.select(key, "dl", F.explode("tf").alias("m")).select(key, "dl", "m.term", "m.tf")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avg or 1))))
     scored = tf.join(idf, "term").groupBy("qid", key).agg(F.sum(F.round(part, 9).cast("decimal(20,9)")).cast("double").alias("score"))
     return top_k(scored, "qid", [F.desc("score"), F.col(key)], k, key)

@@ -108,16 +108,48 @@ def fuzzy_column_repair(spark, d):
     return spark.createDataFrame([(t,) for t in TYPOS], "typo string").select("typo", best["name"].alias("name"), best["d"].alias("d"))
 
 
-GENERATED = ("{y}年{m}最高的公司", "{y}年{m}前{n}家", "{y}年{m}第{n}高的公司")
+#: Question templates.
+GENERATED = (
+    "{place}在{city}的公司，{y}年{m}{most}的公司有多少家？",
+    "{place}在{city}或{city2}的公司，{y}年{m2}{most}的公司有多少家？",
+    "{y}年{short}的{item}是什么？",
+    "{short}{y}年的{item}是什么？",
+    "{y}年{long}的{item}是什么？",
+    "{long}{y}年的{item}是什么？",
+    "{y}年{short}的{m}和{m2}分别是什么？",
+    "{place}在{city}的公司，{m}{y}年最高的前{n}家公司是？",
+    "{place}在{city}或{city2}的公司，{y}年{m}最高的第{n}家公司是？",
+)
 METRICS = ("营业收入", "利润总额", "货币资金", "总负债")
-
-
-@query("SELECT i, k, replace(replace(replace(['" + "', '".join(GENERATED) + "'][k + 1], '{y}', CAST(2019 + i % 3 AS VARCHAR)), '{m}', ['" + "', '".join(METRICS) + "'][CAST(i % 4 AS INT) + 1]), '{n}', CAST(i % 10 + 1 AS VARCHAR)) AS question FROM range(500) a(i), range(3) b(k)")
+PLACES, MOST = ("注册", "办公"), ("大于100万", "小于20万", "高于5亿")
+_FILL = (  # placeholder, SQL value, Spark value, both from a row of company c and nation n
+    ("{place}", "['注册', '办公'][CAST(c_custkey % 2 AS INT) + 1]", lambda: F.element_at(F.array(*map(F.lit, PLACES)), (F.col("c_custkey") % 2 + 1).cast("int"))),
+    ("{city}", "n_name", lambda: F.col("n_name")),
+    ("{city2}", "r_name", lambda: F.col("r_name")),
+    ("{y}", "CAST(2019 + c_custkey % 3 AS VARCHAR)", lambda: (2019 + F.col("c_custkey") % 3).cast("string")),
+    ("{m}", "['" + "', '".join(METRICS) + "'][CAST(c_custkey % 4 AS INT) + 1]", lambda: F.element_at(F.array(*map(F.lit, METRICS)), (F.col("c_custkey") % 4 + 1).cast("int"))),
+    ("{m2}", "['" + "', '".join(METRICS) + "'][CAST((c_custkey + 1) % 4 AS INT) + 1]", lambda: F.element_at(F.array(*map(F.lit, METRICS)), ((F.col("c_custkey") + 1) % 4 + 1).cast("int"))),
+    ("{most}", "['" + "', '".join(MOST) + "'][CAST(c_custkey % 3 AS INT) + 1]", lambda: F.element_at(F.array(*map(F.lit, MOST)), (F.col("c_custkey") % 3 + 1).cast("int"))),
+    ("{short}", "substr(c_name, 10)", lambda: F.substr("c_name", F.lit(10))),
+    ("{long}", "c_name", lambda: F.col("c_name")),
+    ("{item}", "c_mktsegment", lambda: F.col("c_mktsegment")),
+    ("{n}", "CAST(c_custkey % 19 + 2 AS VARCHAR)", lambda: (F.col("c_custkey") % 19 + 2).cast("string")),
+)
+_GENERATED_SQL = "t"
+for _p, _v, _ in _FILL:
+    _GENERATED_SQL = f"replace({_GENERATED_SQL}, '{_p}', {_v})"
+
+
+@query("SELECT c_custkey, k, " + _GENERATED_SQL + " AS question FROM (SELECT *, ['" + "', '".join(GENERATED) + "'][k + 1] AS t FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, range(9) b(k))")
 def question_generator(spark, d):
-    x = spark.range(500).select(F.col("id").alias("i"), F.posexplode(F.array(*map(F.lit, GENERATED))).alias("k", "t"))
-    metric = F.element_at(F.array(*map(F.lit, METRICS)), (F.col("i") % 4 + 1).cast("int"))
-    out = F.replace(F.replace(F.replace("t", F.lit("{y}"), (2019 + F.col("i") % 3).cast("string")), F.lit("{m}"), metric), F.lit("{n}"), (F.col("i") % 10 + 1).cast("string"))
-    return x.select("i", F.col("k").cast("long").alias("k"), out.alias("question"))
+    """Nine questions for each company."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    x = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    x = x.select("*", F.posexplode(F.array(*map(F.lit, GENERATED))).alias("k", "t"))
+    out = F.col("t")
+    for name, _, value in _FILL:
+        out = F.replace(out, F.lit(name), value())
+    return x.select("c_custkey", F.col("k").cast("long").alias("k"), out.alias("question"))
 
 
 @query(f"WITH {_Q}, f AS (SELECT *, contains(question, '甲公司') OR contains(question, '乙公司') AS co, contains(question, '甲公司') AS rep, regexp_matches(question, '20[0-9]{{2}}') AS y FROM q) SELECT id, CASE WHEN co AND rep THEN 'report' WHEN co AND y THEN 'missing_report' WHEN y AND regexp_matches(question, '前|最|第|多少家') THEN 'statistic' WHEN y THEN 'year_only' ELSE 'open' END AS class FROM f")
@@ -203,9 +235,8 @@ def transcript(spark, d):
 @query("WITH s AS (SELECT doc_id, k, substr(text, 1, CAST(length(text) * k // 4 AS BIGINT)) AS t FROM documents, range(1, 5) r(k)) SELECT doc_id, CAST(k AS INT) AS k, substr(t, coalesce(length(LAG(t) OVER (PARTITION BY doc_id ORDER BY k)), 0) + 1) AS delta FROM s")
 def token_delta(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), "text")
-    x = x.withColumn("t", F.col("text").substr(F.lit(1), F.floor(F.length("text") * F.col("k") / 4).cast("int")))
-    last = F.coalesce(F.length(F.lag("t").over(Window.partitionBy("doc_id").orderBy("k"))), F.lit(0))
-    return x.select("doc_id", "k", F.col("t").substr(last + 1, F.length("t")).alias("delta"))
+    at = lambda k: F.floor(F.length("text") * k / 4).cast("int")
+    return x.select("doc_id", "k", F.col("text").substr(at(F.col("k") - 1) + 1, at(F.col("k")) - at(F.col("k") - 1)).alias("delta"))
 
 
 _IDS = "list_transform(string_split({0}, ' '), lambda w: length(w))"

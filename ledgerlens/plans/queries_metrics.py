@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,7 +38,8 @@ SELECT company, industry, year, CAST(revenue AS DOUBLE) AS revenue, CAST(last AS
  CAST(TRUNC(r + (ties - 1) / 2.0) AS INT) AS year_rank FROM g""")
 def company_year_growth(spark, d):
     x = cy(spark, d).withColumn("last", M.prior("revenue"))
-    return x.select("company", "industry", "year", money("revenue"), F.col("last").cast("double").alias("last_revenue"), M.growth(F.col("revenue"), F.col("last")).alias("growth"), M.group_mean("revenue", "year", "industry").alias("industry_avg"), M.average_rank("revenue", "year").alias("year_rank"))
+    x = M.average_rank(M.group_mean(x, "revenue", ["year", "industry"], "industry_avg"), "revenue", ["year"], "year_rank")
+    return x.select("company", "industry", "year", money("revenue"), F.col("last").cast("double").alias("last_revenue"), M.growth(F.col("revenue"), F.col("last")).alias("growth"), "industry_avg", "year_rank")
 
 
 @query(f"WITH {CY} SELECT year, industry, CAST(SUM(revenue) AS DOUBLE) / COUNT(*) AS industry_avg, COUNT(*) AS n FROM cy GROUP BY 1, 2")
@@ -47,25 +49,25 @@ def industry_average(spark, d):
 
 @query(f"WITH {CY}, r AS (SELECT company, year, n_orders, RANK() OVER (PARTITION BY year ORDER BY n_orders DESC) AS r, COUNT(*) OVER (PARTITION BY year, n_orders) AS t FROM cy) SELECT company, year, n_orders, CAST(TRUNC(r + (t - 1) / 2.0) AS INT) AS year_rank FROM r")
 def company_rank_avg_ties(spark, d):
-    return cy(spark, d).select("company", "year", "n_orders", M.average_rank("n_orders", "year").alias("year_rank"))
+    return M.average_rank(cy(spark, d), "n_orders", ["year"], "year_rank").select("company", "year", "n_orders", "year_rank")
 
 
 @query(f"WITH {CY}, r AS (SELECT company, industry, year, CAST(revenue AS DOUBLE) AS revenue, RANK() OVER (PARTITION BY year, industry ORDER BY revenue DESC) AS r, COUNT(*) OVER (PARTITION BY year, industry, revenue) AS t FROM cy) SELECT company, industry, year, revenue, CAST(TRUNC(r + (t - 1) / 2.0) AS INT) AS industry_rank FROM r")
 def industry_rank(spark, d):
-    return cy(spark, d).select("company", "industry", "year", money("revenue"), M.average_rank("revenue", "year", "industry").alias("industry_rank"))
+    return M.average_rank(cy(spark, d), "revenue", ["year", "industry"], "industry_rank").select("company", "industry", "year", money("revenue"), "industry_rank")
 
 
 _FLAGS = [("A", "F"), ("A", "O"), ("N", "F"), ("N", "O"), ("R", "F"), ("R", "O")]
-_WIDE = ", ".join(f"CAST(SUM(CASE WHEN l_returnflag = '{a}' AND l_linestatus = '{b}' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS {a.lower()}_{b.lower()}" for a, b in _FLAGS)
+_WIDE = ", ".join(f"CAST(SUM(CASE WHEN l_returnflag = '{a}' AND l_linestatus = '{b}' AND l_quantity > 47 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS {a.lower()}_{b.lower()}" for a, b in _FLAGS)
 
 
 def wide_report(spark, d) -> DataFrame:
-    x = table(spark, d, "lineitem").where("l_quantity > 47").select("l_suppkey", F.year("l_shipdate").cast("int").alias("year"), F.lower(F.concat_ws("_", "l_returnflag", "l_linestatus")).alias("item"), F.col("l_extendedprice").cast(M.MONEY).alias("v"))
+    x = table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").cast("int").alias("year"), F.lower(F.concat_ws("_", "l_returnflag", "l_linestatus")).alias("item"), F.when(F.col("l_quantity") > 47, F.col("l_extendedprice").cast(M.MONEY)).alias("v"))
     names = [f"{a.lower()}_{b.lower()}" for a, b in _FLAGS]
     return x.groupBy("l_suppkey", "year").pivot("item", names).agg(F.sum("v")).select("l_suppkey", "year", *[money(n) for n in names])
 
 
-@query(f"SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year, {_WIDE} FROM lineitem WHERE l_quantity > 47 GROUP BY 1, 2")
+@query(f"SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year, {_WIDE} FROM lineitem GROUP BY 1, 2")
 def fin_report_wide(spark, d):
     return wide_report(spark, d)
 
@@ -84,10 +86,34 @@ def industry_two_level(spark, d):
     return x.select("p_partkey", F.when(F.col("raw") == "其他", F.col("raw")).otherwise(F.concat_ws("--", F.slice(F.split("raw", "--"), 1, 2))).alias("industry"))
 
 
-@query(f"WITH {ITEMS} SELECT o_custkey, year, (gross - net) / NULLIF(gross, 0) AS discount_rate, tax / NULLIF(net, 0) AS tax_rate, gross / NULLIF(quantity, 0) AS unit_price, net / NULLIF(n_lines, 0) AS net_per_order, tax / NULLIF(gross - net, 0) AS tax_to_discount FROM items")
+def _sql_ratio(formula: str) -> str:
+    named = re.sub(r"([^\W\d]\w*)", r'"\1"', formula)
+    over, _, under = named.rpartition("/") if not named.endswith(")") else named.partition("/")
+    return f"{over} / NULLIF({under}, 0)"
+
+
+_ITEM_SUMS = ", ".join(f"CAST(SUM(CASE WHEN l_partkey % {len(M.RATIO_ITEMS)} = {i} THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS \"{n}\"" for i, n in enumerate(M.RATIO_ITEMS))
+_RATIOS = f"items AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year, {_ITEM_SUMS} FROM lineitem GROUP BY 1, 2)"
+
+
+def ratio_items(spark, d) -> DataFrame:
+    """One column per item of the catalogue for each supplier's year; a line's part says which item it books to."""
+    item = F.element_at(F.array(*map(F.lit, M.RATIO_ITEMS)), (F.col("l_partkey") % len(M.RATIO_ITEMS) + 1).cast("int"))
+    x = table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").cast("int").alias("year"), item.alias("item"), F.col("l_extendedprice").cast(M.MONEY).alias("v"))
+    wide = x.groupBy("l_suppkey", "year").pivot("item", list(M.RATIO_ITEMS)).agg(F.sum("v"))
+    return wide.select("l_suppkey", "year", *[F.col(f"`{n}`").cast("double").alias(n) for n in M.RATIO_ITEMS])
+
+
+@query(f"WITH {_RATIOS} SELECT l_suppkey, year, " + ", ".join(f'{_sql_ratio(f)} AS "{k}"' for k, f in M.RATIOS.items()) + " FROM items")
 def ratio_catalogue(spark, d):
+    return ratio_items(spark, d).select("l_suppkey", "year", *[M.compile_formula(f).alias(k) for k, f in M.RATIOS.items()])
+
+
+@query(f"WITH {ITEMS} SELECT o_custkey, year, (gross - net) / NULLIF(gross, 0) AS discount_rate, tax / NULLIF(net, 0) AS tax_rate, gross / NULLIF(quantity, 0) AS unit_price FROM items")
+def formula_over_items(spark, d):
     x = M.items_of(table(spark, d, "lineitem"), table(spark, d, "orders"))
-    return x.select("o_custkey", "year", *[M.compile_formula(f).alias(k) for k, f in M.RATIOS.items()])
+    formulas = {"discount_rate": "(gross - net) / gross", "tax_rate": "tax / net", "unit_price": "gross / quantity"}
+    return x.select("o_custkey", "year", *[M.compile_formula(f).alias(k) for k, f in formulas.items()])
 
 
 @query(f"WITH {CY}, p AS (SELECT a.company, a.year, CAST(a.revenue AS DOUBLE) AS v0, CAST(b.revenue AS DOUBLE) AS v1, b.company IS NOT NULL AS has FROM cy a LEFT JOIN cy b ON a.company = b.company AND a.year = b.year + 1) SELECT company, year, v0 / NULLIF(v1, 0) AS value, CASE WHEN NOT has THEN -4 WHEN v1 = 0 THEN -1 ELSE 0 END AS status FROM p")
@@ -173,7 +199,7 @@ def multi_year_same_value(spark, d):
 
 
 _NULLS = " UNION ALL ".join(f"SELECT '{a.lower()}_{b.lower()}' AS item, COUNT(*) FILTER (WHERE {a.lower()}_{b.lower()} IS NULL) AS n_null, COUNT(*) AS n FROM w" for a, b in _FLAGS)
-_W = f"w AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year, {_WIDE} FROM lineitem WHERE l_quantity > 47 GROUP BY 1, 2)"
+_W = f"w AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS year, {_WIDE} FROM lineitem GROUP BY 1, 2)"
 
 
 def _long(w: DataFrame) -> DataFrame:

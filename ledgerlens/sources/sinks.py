@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def insert_if_absent(new: DataFrame, path: str) -> None:
-    """Appends rows that are not in the table yet, each once."""
+    """Appends rows that are not in the table yet, each once; nulls are equal to each other."""
     old = new.sparkSession.read.schema(new.schema).parquet(path)
-    new.dropDuplicates().join(old, new.columns, "left_anti").write.mode("append").parquet(path)
+    new.dropDuplicates().alias("new").join(old.alias("old"), reduce(and_, (F.col(f"new.`{c}`").eqNullSafe(F.col(f"old.`{c}`")) for c in new.columns)), "left_anti").write.mode("append").parquet(path)
 
 
 def answers(df: DataFrame, path: str) -> None:

@@ -51,9 +51,9 @@ def test_shapes(q, shape, n):
 
 @given(st.integers(0, 499), st.integers(0, 2))
 def test_generated_questions_parse(i, k):
-    from ledgerlens.plans.queries_language import GENERATED, METRICS
+    from ledgerlens.plans.queries_language import METRICS
 
-    q = GENERATED[k].replace("{y}", str(2019 + i % 3)).replace("{m}", METRICS[i % 4]).replace("{n}", str(i % 10 + 1))
+    q = ("{y}年{m}最高的公司", "{y}年{m}前{n}家", "{y}年{m}第{n}高的公司")[k].replace("{y}", str(2019 + i % 3)).replace("{m}", METRICS[i % 4]).replace("{n}", str(i % 10 + 1))
     s = parse(q, [], [], {m: m for m in METRICS})
     assert s.shape == ("max", "topn", "nth")[k] and s.years == (2019 + i % 3,) and s.metric == METRICS[i % 4]
 
@@ -177,3 +177,55 @@ def test_nearest_ties_go_by_key(spark, metric):
     asked = spark.createDataFrame([(1, [1.0, 2.0, 2.5]), (2, [1.0, 2.0, 2.0])], "qid long, q array<double>")
     got = sorted((r.qid, r["rank"], r.vec_id) for r in nearest(rows, asked, 5, metric).collect())
     assert got == [(q, i + 1, 601 + i) for q in (1, 2) for i in range(5)]
+
+
+def test_bm25_finds_han_text(spark):
+    from ledgerlens.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "公司2020年营业收入为100万元，净利润增长。"), (2, "董事会由九名成员组成。Revenue fell"), (3, None), (4, "收"), (5, "利润分配方案")], "doc_id long, text string")
+    assert R.terms(spark, "营业收入2020") == ["2020", "业收", "收入", "营业"]
+    got = R.bm25(docs, [(1, R.terms(spark, "营业收入")), (2, R.terms(spark, "净利润")), (3, ["revenue"]), (4, ["收"])], 2).collect()
+    assert {(r.qid, r.rank): r.doc_id for r in got} == {(1, 1): 1, (2, 1): 1, (2, 2): 5, (3, 1): 2, (4, 1): 4}
+
+
+def test_insert_if_absent_with_nulls(spark, tmp_path):
+    from ledgerlens.sources.sinks import insert_if_absent
+
+    frame, path = spark.createDataFrame([(1, None), (None, "b"), (2, "c"), (2, "c")], "a int, b string"), str(tmp_path / "t")
+    frame.limit(0).write.parquet(path)
+    for _ in range(3):
+        insert_if_absent(frame, path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_ratios_of_the_captured_answers():
+    from ledgerlens.operators import metrics as M
+
+    assert len(M.RATIOS) == 19 and len(M.RATIO_ITEMS) == 20 and set(M.PLAIN_RATIOS) <= set(M.RATIOS)
+
+
+def test_average_rank_with_ties_and_nulls(spark):
+    from ledgerlens.operators import metrics as M
+
+    rows = [("a", v, i) for i, v in enumerate([5, 3, 3, None, 1, 5, 5, 9, 2, 2, 2, 2])] + [(None, 4, 90), ("b", None, 91)]
+    got = {r.i: r.rank for r in M.average_rank(spark.createDataFrame(rows, "g string, v int, i int"), "v", ["g"], "rank", 3).collect()}
+    for g, v, i in rows:
+        same = [x for h, x, _ in rows if h == g and x is not None]
+        if v is not None and g is not None:
+            assert got[i] == int(sum(x > v for x in same) + 1 + (same.count(v) - 1) / 2)
+        elif v is None:
+            assert got[i] is None
+
+
+def test_statistic_answers_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import answers as A
+
+    rows = F.array(F.struct(F.lit("甲").alias("name"), F.lit(3).alias("value")), F.struct(F.lit("乙").alias("name"), F.lit(2).alias("value")))
+    say = lambda q, num, r=rows: A.statistic(F.lit(q), F.lit("2020年"), F.lit("所有"), F.lit("营业收入"), F.lit(num), r)
+    got = spark.range(1).select(say("最低的前2家", "2").alias("a"), say("最高的2家", "2").alias("b"), say("最高的是", None).alias("c"), say("第2高", "2").alias("d"), say("均位列前2", "2").alias("e"), say("最高", None, F.slice(rows, 1, 0)).alias("f")).first()
+    assert got.a == "2020年在所有的上市公司中,营业收入最低的前2家公司如下：第1是甲，值为3元，第2是乙，值为2元。"
+    assert got.b == "2020年在所有的上市公司中,营业收入最高的2家公司如下：第1是甲，值为3元，第2是乙，值为2元。"
+    assert got.c == "2020年在所有的上市公司中,营业收入最高的公司是甲，值为3元。" and got.d == "2020年在所有的上市公司中,营业收入第2高的公司是甲，值为3元。"
+    assert got.e == "2020年在所有的上市公司中,营业收入均位列前2的公司如下：第1是甲，第2是乙。" and got.f == "没查到"
