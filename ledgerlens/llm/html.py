@@ -4,14 +4,17 @@ The builder follows the usual implied-tag rules (a paragraph ends where a block
 rows end their like, void elements take no content, raw-text elements end at their end tag). Rendering drops what a
 browser would not show (head, script, style, template, hidden and aria-hidden elements, display:none), keeps the spacing
 of blocks, numbers or bullets list items by depth, aligns the cells of tables, and keeps preformatted text as it is.
-One pass over a page's tokens; time is linear in the page, and depth is bounded by an explicit stack.
+One pass over a page's tokens; a search up the open elements only starts where its end is open. Elements may nest at any
+depth, and a cell keeps its place in all rows and columns that it spans.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import sys
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from ledgerlens.llm.common import by_batch
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe object embed svg math canvas audio video datalist noembed noframes".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe object embed defs symbol desc metadata canvas audio video datalist noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol ul menu pre table fieldset".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption colgroup".split())
@@ -38,7 +41,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
-DEEPEST = 200  # elements nested deeper are taken as their ancestors' content
+MOST_COLUMNS, MOST_ROWS = 1000, 65534  # fixed values of the HTML language: what a cell can span
 
 
 def width(text: str) -> int:
@@ -75,14 +78,19 @@ def parse(source: str) -> Node:
     """The tree of a page; text nodes are strings."""
     root = Node("#root")
     stack, at, n = [root], 0, len(source)
+    count: Counter = Counter()  # open elements by tag, so that a search up the stack only starts where it can end
+
+    def cut(i: int) -> None:
+        for x in stack[i:]:
+            count[x.tag] -= 1
+        del stack[i:]
 
     def close(tags: tuple, scope: tuple) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        i = len(stack) - 1
+        while i > 0 and any(count[t] for t in tags) and stack[i].tag not in scope:
             if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, scope)
-            if stack[i].tag in scope:
-                return
+                cut(i)
+            i = min(i, len(stack)) - 1
 
     while at < n:
         m = _TOKEN.search(source, at)
@@ -95,38 +103,39 @@ def parse(source: str) -> Node:
         if m[2]:
             tag, attributes = m[2].lower(), m[3]
             if tag in BLOCK and stack[-1].tag == "p":
-                stack.pop()
-            elif tag in BLOCK:
+                cut(-1)
+            elif tag in BLOCK and count["p"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i].tag in BLOCK or stack[i].tag in TABLE_PARTS:
                         break
             if tag in CLOSES:
                 close(CLOSES[tag], SCOPES.get(tag, ("table",)))
             elif tag[0] == "h" and len(tag) == 2 and tag[1] in "123456" and stack[-1].tag[0] == "h" and stack[-1].tag[1:] in "123456" and len(stack[-1].tag) == 2:
-                stack.pop()
+                cut(-1)
             if tag == "body" and stack[-1].tag == "head":
-                stack.pop()
+                cut(-1)
             node = Node(tag, attributes)
             stack[-1].children.append(node)
-            if tag in VOID or attributes.endswith("/") and tag in ("svg", "math"):
+            if tag in VOID or attributes.endswith("/") and (tag in ("svg", "math") or count["svg"] or count["math"]):
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 node.children.append(source[at : end.start() if end else n])
                 at = end.end() if end else n
-            elif len(stack) < DEEPEST:
+            else:
                 stack.append(node)
+                count[tag] += 1
         elif m[1]:
             tag = m[1].lower()
-            if tag == "p" and all(x.tag != "p" for x in stack):
+            if tag == "p" and not count["p"]:
                 stack[-1].children.append(Node("p"))
             scope = ("table",) if tag not in TABLE_PARTS else ()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0 if count[tag] else len(stack), -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in scope or stack[i].tag in ("td", "th") and tag not in TABLE_PARTS:
                     break
@@ -177,6 +186,8 @@ class Lines:
 
 
 def render(node: Node) -> str:
+    # calls between Python functions are kept on the heap, so pages may nest as deep as they like
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
     out = Lines()
     _blocks(node, out, 0, False)
     out.flush()
@@ -234,9 +245,17 @@ def _blocks(node: Node, out: Lines, depth: int, pre: bool, order: list | None =
             _blocks(c, out, depth, pre or tag in ("textarea", "xmp"))
 
 
-def _rows(table: Node) -> tuple[list[str], list[list[str]]]:
-    """Caption lines and the cells of each row; a cell's lines are joined by spaces, spanned columns stay empty."""
+def _span(cell: Node, name: str, most: int) -> int:
+    value = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(cell.attributes) if m[1].lower() == name), "").strip()
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    return min(int(value[:9]), most) or (most if name == "rowspan" else 1)  # no number of rows: all that follow
+
+
+def _rows(table: Node) -> tuple[list[str], list[dict[int, str]]]:
+    """Caption lines and each row's cells by column; a cell's lines are joined by spaces, and what a cell spans stays empty."""
     captions, rows = [], []
+    held: dict[int, int] = {}  # columns that cells from above still take, and for how many rows
     todo = list(reversed(table.children))
     while todo:
         c = todo.pop()
@@ -249,17 +268,25 @@ def _rows(table: Node) -> tuple[list[str], list[list[str]]]:
         if c.tag == "caption":
             captions += [x for x in render(c).split("\n") if x]
         elif c.tag == "tr":
-            cells = []
+            cells, column, below = {}, 0, {}
             for d in c.children:
-                if isinstance(d, str) or hidden(d.tag, d.attributes):
-                    if isinstance(d, str) and d.strip():
-                        cells.append(_SPACE.sub(" ", d).strip())
+                if isinstance(d, str) and not d.strip() or not isinstance(d, str) and hidden(d.tag, d.attributes):
+                    continue
+                while column in held:
+                    column += 1
+                if isinstance(d, str):
+                    cells[column] = _SPACE.sub(" ", d).strip()
+                    column += 1
                     continue
-                cells.append(" ".join(x.strip() for x in render(d).split("\n") if x.strip()))
-                span = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(d.attributes) if m[1].lower() == "colspan"), "")
-                cells += [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
+                cells[column] = " ".join(x.strip() for x in render(d).split("\n") if x.strip())
+                wide, high = _span(d, "colspan", MOST_COLUMNS), _span(d, "rowspan", MOST_ROWS)
+                if high > 1:
+                    below |= dict.fromkeys(range(column, column + wide), high - 1)
+                column += wide
+            held = {k: n - 1 for k, n in held.items() if n > 1} | below
             rows.append(cells)
         elif c.tag in ("thead", "tbody", "tfoot"):
+            held = {}
             todo += reversed(c.children)
         elif c.tag not in ("colgroup", "col"):
             text = render(c)
@@ -270,16 +297,17 @@ def _rows(table: Node) -> tuple[list[str], list[list[str]]]:
 
 def _table(table: Node, depth: int) -> list[str]:
     captions, rows = _rows(table)
-    wide: list[int] = []
+    wide: dict[int, int] = {}
     for r in rows:
-        for i, cell in enumerate(r):
-            if i == len(wide):
-                wide.append(0)
-            wide[i] = max(wide[i], width(cell))
+        for i, cell in r.items():
+            wide[i] = max(wide.get(i, 0), width(cell))
+    columns = sorted(wide)
     lines = []
     for r in rows:
-        if any(r):
-            lines.append(" | ".join(cell + " " * (wide[i] - width(cell)) for i, cell in enumerate(r)).rstrip(" |"))
+        last = max((i for i, cell in r.items() if cell), default=-1)
+        if last >= 0:
+            cells = [r.get(i, "") for i in columns if i < last]
+            lines.append(" | ".join([cell + " " * (wide[i] - width(cell)) for i, cell in zip(columns, cells, strict=False)] + [r[last]]))
     return captions + lines
 
 

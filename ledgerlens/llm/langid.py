@@ -259,7 +259,10 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows whose text the identifier accepts, with all their columns."""
+    """The rows whose text the identifier accepts, with all their columns, whatever their names.
+
+    Null texts and texts without a letter go, as does every row where no labelled row is there to learn from. Repeated rows
+    stay as often as they occur; keys and labels may be null; an empty table gives no rows."""
     it = fit(docs, key, text, lang)
     if it is None:
         return docs.where(F.lit(False))

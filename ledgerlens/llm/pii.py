@@ -181,7 +181,10 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def redact_texts(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns with spans replaced in ``text`` and, where that column exists, ``n_chars`` counted anew. Null stays null."""
+    """The same rows and columns with spans replaced in ``text`` and, where that column exists, ``n_chars`` counted anew.
+
+    A null text stays null with a null count; empty texts and texts without spans stay as they are. Repeated rows give equal
+    rows, other columns come out untouched whatever their names, and an empty table gives no rows."""
     has_count = n_chars in docs.columns if n_chars else False
     i = docs.columns.index(text)
 

@@ -81,6 +81,18 @@ def test_html_layout():
     assert shown("<pre> k\n   l</pre>") == " k\n   l"
 
 
+def test_html_deep_nesting_keeps_visibility():
+    for n in (150, 205, 5000, 60_000):
+        assert shown("<div>" * n + "<p hidden>SECRET</p>seen") == "seen"
+        assert shown("<span>" * n + "a" + "</span>" * n + "<b hidden>x</b>b") == "ab"
+
+
+def test_html_cells_stay_in_their_columns():
+    assert shown("<table><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td>E<tr><td>F<td>|<tr><td>G<td>x|</table>").split("\n") == ["A | B  | C", "  | D  | E", "F | |", "G | x|"]
+    assert shown("<table><tr><td colspan=2>AB<td>C<tr><td>1<td>2<td>3</table>").split("\n") == ["AB |   | C", "1  | 2 | 3"]
+    assert shown("<svg><text>drawn</text><title>no</title><path d='m'/></svg> after <math><mi>x</mi></math>") == "drawn after x"
+
+
 def test_html_visibility():
     assert shown('<script>if(a<b){"</p>"}</script>a<style>x</style><div style="color:red; display : none">no</div><span hidden>z</span><p aria-hidden="true">n</p><!-- c --><input type=hidden value=q>b') == "ab"
     assert shown("x < 5 &lt; 6 <b") == "x < 5 < 6"
