@@ -1,9 +1,10 @@
 """URL filter: fixed rules first, then a path-template tree learnt from labelled URLs.
 
 Per host, path segments are generalised lexically (numbers, hashes, dates, file names keep only their shape); then,
-level by level, rare segments become a wildcard and sibling branches whose labelled rates do not differ from their
-parent's pool are merged into it, while those clearly above or below form one branch each. A template is rejected where
-its labelled purity, smoothed towards its parent's and at the top towards the same template over all hosts, says block.
+level by level, frequent segments with labelled URLs are nodes of their own and all others a wildcard. Siblings are put in
+order of their labelled rates, and neighbours that a test of two proportions does not tell apart become one node, which
+is the wildcard if that is among them. A template is rejected where its labelled purity, smoothed towards its parent's and
+at the top towards the same shape over all hosts, says block.
 
 Everything is aggregates and joins on counts of (host, shape); no step gathers a host's rows, so a host that holds a
 third of all URLs only makes a larger count. Counts are written to the shared folder between levels.
@@ -11,16 +12,16 @@ third of all URLs only makes a larger count. Counts are written to the shared fo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialise, release
 
 #: (host, path prefix, verdict); a rule holds for the host and its subdomains.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DEPTH = 4
-MIN_COUNT, MIN_SHARE = 8, 0.01  # below either, a segment is a wildcard's
-Z = 2.0  # deviations from the parent's rate from which a branch stands alone
+DEPTH = 4  # segments that are levels of their own; what follows them is one segment of the last level
+MIN_COUNT, MIN_SHARE = 8, 0.01  # below either, a segment is a wildcard's; so a node has at most 100 others
+Z = 2.0  # deviations from which two siblings' rates differ
 PRIOR = 4.0  # labelled URLs that the parent's purity counts as
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,7 +46,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape_of(path: Column) -> Column:
-    """Array of DEPTH generalised segments; what is deeper is one segment of its depth only."""
+    """The generalised segments of a path, joined by slashes."""
 
     def one(s: Column) -> Column:
         s = F.translate(s, UPPER, LOWER)
@@ -56,13 +57,11 @@ def shape_of(path: Column) -> Column:
             .when(s.rlike(r"^[0-9a-f-]{12,}$"), F.lit("<hash>"))
             .when(s.rlike(r"[0-9]{3}"), F.lit("<mixed>"))
             .when(F.length(s) > 40, F.lit("<long>"))
+            .when(s.isin("*", "$"), F.lit("<sign>"))  # these name the wildcard and a path's end
             .otherwise(s)
         )
 
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(segments, 1, DEPTH), one)
-    tail = F.when(F.size(segments) > DEPTH, F.concat(F.lit("<deep"), F.least(F.size(segments), F.lit(9)).cast("string"), F.lit(">"))).otherwise(F.lit(""))
-    return F.concat_ws("/", head, F.when(tail != "", F.array(tail)).otherwise(F.array().cast("array<string>")))
+    return F.array_join(F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), one), "/")
 
 
 def learn(counts: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -79,20 +78,25 @@ def learn(counts: DataFrame) -> tuple[DataFrame, list[str]]:
     hosts = t.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"))
     t = t.join(rates, "shape").join(hosts, "host").withColumn("purity", (F.col("h_bad") + PRIOR * F.col("shape_rate")) / (F.col("h_lab") + PRIOR)).drop("shape_rate", "h_lab", "h_bad")
     for depth in range(1, DEPTH + 2):
-        seg = F.coalesce(F.get(F.split("shape", "/"), F.lit(depth - 1)), F.lit(""))
+        seg = F.coalesce(F.get(F.split("shape", "/", DEPTH + 1), F.lit(depth - 1)), F.lit(""))
         t = t.withColumn("seg", seg)
         stat = t.groupBy("host", "node", "seg").agg(*sums)
-        parent = stat.groupBy("host", "node").agg(F.sum("n").alias("pn"), F.sum("lab").alias("pl"), F.sum("bad").alias("pb"))
-        p = (F.col("pb") + 0.5) / (F.col("pl") + 1.0)
-        z = (F.col("bad") - F.col("lab") * p) / F.sqrt(F.col("lab") * p * (1 - p) + 1e-9)
-        branch = (
-            F.when(F.col("seg") == "", F.lit("$"))
-            .when((F.col("n") < MIN_COUNT) | (F.col("n") < MIN_SHARE * F.col("pn")), F.lit("*"))
-            .when(z > Z, F.lit("*high"))
-            .when(z < -Z, F.lit("*low"))
-            .otherwise(F.lit("*"))
-        )
-        chosen = stat.join(parent, ["host", "node"]).select("host", "node", "seg", branch.alias("branch"))
+        parent = stat.groupBy("host", "node").agg(F.sum("n").alias("pn"))
+        rare = (F.col("n") < MIN_COUNT) | (F.col("n") < MIN_SHARE * F.col("pn")) | (F.col("lab") == 0)
+        sibling = F.when(F.col("seg") == "", "$").when(rare, "*").otherwise(F.col("seg"))
+        stat = stat.join(parent, ["host", "node"]).select("host", "node", "seg", "lab", "bad", sibling.alias("sib"))
+        pooled = stat.groupBy("host", "node", "sib").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).where("sib <> '$' and lab > 0")
+        by_rate = Window.partitionBy("host", "node").orderBy(F.col("bad") / F.col("lab"), "sib")  # about 100 rows at most
+        lab, bad = F.lag("lab").over(by_rate), F.lag("bad").over(by_rate)
+        p = (bad + F.col("bad") + 0.5) / (lab + F.col("lab") + 1.0)
+        z = (F.col("bad") / F.col("lab") - bad / lab) / F.sqrt(p * (1 - p) * (1 / lab + 1 / F.col("lab")))
+        pooled = pooled.withColumn("apart", F.coalesce((z > Z).cast("int"), F.lit(0)))
+        pooled = pooled.withColumn("group", F.sum("apart").over(by_rate.rowsBetween(Window.unboundedPreceding, 0)))
+        named = pooled.groupBy("host", "node", "group").agg(F.sort_array(F.collect_list("sib")).alias("sibs"))
+        # a slash-free name that no path can hold
+        named = named.withColumn("branch", F.when(F.array_contains("sibs", "*"), "*").otherwise(F.array_join("sibs", "#")))
+        named = named.select("host", "node", F.explode("sibs").alias("sib"), "branch")
+        chosen = stat.join(named, ["host", "node", "sib"], "left").select("host", "node", "seg", F.coalesce("branch", "sib").alias("branch"))
         t = t.join(chosen, ["host", "node", "seg"])
         t = t.withColumn("node", F.when(F.col("branch") == "$", F.col("node")).otherwise(F.concat_ws("/", "node", "branch"))).drop("branch", "seg")
         merged = t.groupBy("host", "node").agg(F.sum("lab").alias("m_lab"), F.sum("bad").alias("m_bad"))

@@ -452,6 +452,79 @@ def test_url_templates_learn(spark):
     assert by[0].template != by[60].template and by[0].purity < 0.2 < 0.8 < by[60].purity
 
 
+def plain_tree(counts):
+    """(host, shape) -> (template, purity) from (host, shape) -> (n, lab, bad), by dictionaries."""
+
+    def total(keys):
+        out = {}
+        for key, v in keys:
+            out[key] = tuple(a + b for a, b in zip(out.get(key, (0, 0, 0)), v, strict=True))
+        return out
+
+    _, lab, bad = map(sum, zip(*counts.values(), strict=True))
+    rate = (bad + 0.5) / (lab + 1.0)
+    shapes, hosts = total((s, v) for (_, s), v in counts.items()), total((h, v) for (h, _), v in counts.items())
+    top = {s: (v[2] + urls.PRIOR * rate) / (v[1] + urls.PRIOR) for s, v in shapes.items()}
+    node = {k: "" for k in counts}
+    purity = {(h, s): (hosts[h][2] + urls.PRIOR * top[s]) / (hosts[h][1] + urls.PRIOR) for h, s in counts}
+    for depth in range(urls.DEPTH + 1):
+        seg = {k: ([*k[1].split("/", urls.DEPTH), *[""] * 9])[depth] for k in counts}
+        stat = total(((k[0], node[k], seg[k]), v) for k, v in counts.items())
+        whole = total((k[:2], v) for k, v in stat.items())
+        sib = {k: "$" if not k[2] else "*" if v[0] < urls.MIN_COUNT or v[0] < urls.MIN_SHARE * whole[k[:2]][0] or not v[1] else k[2] for k, v in stat.items()}
+        pooled = total(((*k[:2], sib[k]), v) for k, v in stat.items())
+        name = {}
+        for at in whole:
+            row = sorted((v[2] / v[1], k[2], v) for k, v in pooled.items() if k[:2] == at and k[2] != "$" and v[1])
+            groups = []
+            for i, (_, s, v) in enumerate(row):
+                if i:
+                    u = row[i - 1][2]
+                    p = (u[2] + v[2] + 0.5) / (u[1] + v[1] + 1)
+                    apart = (v[2] / v[1] - u[2] / u[1]) / (p * (1 - p) * (1 / u[1] + 1 / v[1])) ** 0.5 > urls.Z
+                if not i or apart:
+                    groups.append([])
+                groups[-1].append(s)
+            for g in groups:
+                for s in g:
+                    name[(*at, s)] = "*" if "*" in g else "#".join(sorted(g))
+        for k in counts:
+            s = sib[(k[0], node[k], seg[k])]
+            if s != "$":
+                node[k] = f"{node[k]}/{name.get((k[0], node[k], s), s)}"
+        merged = total(((k[0], node[k]), v) for k, v in counts.items())
+        purity = {k: (merged[k[0], node[k]][2] + urls.PRIOR * purity[k]) / (merged[k[0], node[k]][1] + urls.PRIOR) for k in counts}
+    return {k: (node[k], purity[k]) for k in counts}
+
+
+def test_url_tree_against_dictionaries(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(F.col("url").alias("_url"))
+    rows = rows.select(urls.host_of(F.col("_url")).alias("host"), urls.path_of(F.col("_url")).alias("path"))
+    _, said = urls.rule_of(F.col("host"), F.col("path"))
+    real = {(r.host, r["shape"]): (r.n, r.lab, r.bad) for r in rows.withColumns({"said": said, "shape": urls.shape_of(F.col("path"))}).groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("said").alias("lab"), F.count(F.when(F.col("said") == "block", 1)).alias("bad")).collect()}
+    g = random.Random(6)
+    made = {}
+    for _ in range(400):
+        shape = "/".join(g.choice("abcd") for _ in range(g.randrange(7)))
+        n = g.randrange(1, 40)
+        lab = g.choice([0, n // 2, n])
+        made[g.choice(["x", "y"]), shape] = (n, lab, min(lab, int(lab * g.choice([0, 0.3, 0.9, 1]))))
+    for counts in (real, made):
+        frame = spark.createDataFrame([(*k, *v) for k, v in counts.items()], "host string, shape string, n long, lab long, bad long")
+        got = {(r.host, r["shape"]): (r.template, r.purity) for r in urls.learn(frame)[0].collect()}
+        want = plain_tree(counts)
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_url_siblings_of_different_rates_are_templates_of_their_own(spark):
+    rows = [("h", f"{s}/<num>", 200, 200, bad) for s, bad in (("good", 2), ("mixed", 100), ("bad", 198), ("worse", 199))] + [("h", f"rare{i}", 1, 0, 0) for i in range(50)]
+    got = {r["shape"]: r.template for r in urls.learn(spark.createDataFrame(rows, "host string, shape string, n long, lab long, bad long"))[0].collect()}
+    assert got["good/<num>"] == "/good/<num>" and got["mixed/<num>"] == "/mixed/<num>" and got["bad/<num>"] == got["worse/<num>"] == "/bad#worse/<num>" and got["rare7"] == "/*"
+
+
 # --- media ----------------------------------------------------------------------------------------------------------
 
 
