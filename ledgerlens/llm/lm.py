@@ -160,11 +160,11 @@ class Attention:
         self.gap = np.clip(query - key, 0, WINDOW - 1)
         self.causal = key <= query
 
-    def forward(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def forward(self, a: np.ndarray, b: np.ndarray, back: bool = False) -> tuple[np.ndarray, tuple]:
         """a, b: rows of ``first`` and ``last`` at each place, a = -1 where there is none. Gives the hidden layer of all
-        places after chunk 0 (its last column is 1), and what the way back needs."""
+        places after chunk 0 (its last column is 1), and what the way ``back`` needs."""
         w, d, n = self.w, WIDTH, len(a) // STRIDE - 1
-        x = np.concatenate((self.first[a], self.last[b]), axis=1)
+        x = np.concatenate((self.first.take(a, axis=0, mode="clip"), self.last.take(b, axis=0, mode="clip")), axis=1)
         h = x @ w["x"]
         over = lambda y: np.lib.stride_tricks.as_strided(y, (n, WINDOW, d), (STRIDE * y.strides[0], *y.strides))
         q, k, v = h[STRIDE:, :d].reshape(n, STRIDE, d), over(h[:, d : 2 * d]), over(h[:, 2 * d : 3 * d])
@@ -175,8 +175,12 @@ class Attention:
             i, j = np.lib.stride_tricks.as_strided(empty, (n, WINDOW), (STRIDE * empty.strides[0], empty.strides[0])).nonzero()
             s[i, :, j] = -1e4
         powers(s)
-        s /= row_sums(s.reshape(-1, WINDOW)).reshape(n, STRIDE, 1) + np.float32(1e-30)
+        whole = row_sums(s.reshape(-1, WINDOW)).reshape(n, STRIDE, 1) + np.float32(1e-30)
+        if back:
+            s /= whole
         mixed = s @ v
+        if not back:
+            mixed /= whole
         u = np.ones((n * STRIDE, HIDDEN + 1), h.dtype)
         pre = mixed.reshape(-1, d) @ w["m"]
         pre += h[STRIDE:, 3 * d :]
@@ -184,11 +188,11 @@ class Attention:
         np.maximum(pre, 0, out=u[:, :-1])
         return u, (x, q, k, v, s, mixed)
 
-    def probability(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Of class t at each row of the hidden layer."""
+    def probability(self, u: np.ndarray, rows: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Of class t at each of these rows of the hidden layer."""
         g, s = np.divmod(t, SLOTS)
         order = np.argsort(g, kind="stable")
-        u, g, s = u[order], g[order], s[order]
+        u, g, s = u.take(rows[order], axis=0, mode="clip"), g[order], s[order]
         bounds, at = np.searchsorted(g, np.arange(len(self.w["s"]) + 1)), np.arange(len(t))
         among, within = powers(u @ self.w["g"]), np.empty((len(t), SLOTS), u.dtype)
         for i in np.flatnonzero(np.diff(bounds)):
@@ -202,13 +206,13 @@ class Attention:
     def gradients(self, a: np.ndarray, b: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
         """Mean cross-entropy over the targets >= 0 of the places after chunk 0, and its gradients."""
         w, d = self.w, WIDTH
-        u, (x, q, k, v, s, mixed) = self.forward(a, b)
+        u, (x, q, k, v, s, mixed) = self.forward(a, b, back=True)
         n = len(q)
         use = np.flatnonzero(targets >= 0)
         tg, ts = np.divmod(targets[use], SLOTS)
         order = np.argsort(tg, kind="stable")
         use, tg, ts = use[order], tg[order], ts[order]
-        rows, scale = u[use], np.asarray(1 / max(len(use), 1), u.dtype)
+        rows, scale = u.take(use, axis=0, mode="clip"), np.asarray(1 / max(len(use), 1), u.dtype)
         at, groups = np.arange(len(use)), np.arange(len(w["s"]))
         bounds = np.searchsorted(tg, np.append(groups, len(groups)))
         owns = [(i, slice(bounds[i], bounds[i + 1])) for i in np.flatnonzero(np.diff(bounds))]
@@ -237,7 +241,9 @@ class Attention:
         ds *= s
         grad["r"] = np.bincount(self.gap.ravel(), (ds.sum(axis=0) * self.causal).ravel(), WINDOW).astype(u.dtype)
         dk = ds.transpose(0, 2, 1) @ q
-        dh = np.zeros((len(a), 3 * d + HIDDEN), u.dtype)
+        dh = np.empty((len(a), 3 * d + HIDDEN), u.dtype)
+        dh[:STRIDE, :d] = dh[:STRIDE, 3 * d :] = 0
+        dh[-STRIDE:, d : 3 * d] = 0
         dh[STRIDE:, :d] = (ds @ k).reshape(-1, d)
         for lo, part in ((d, dk), (2 * d, dv)):  # a chunk is looked at from its own window and from the next one's
             dh[:-STRIDE, lo : lo + d] = part[:, :STRIDE].reshape(-1, d)
@@ -388,7 +394,7 @@ class Model:
             use = np.flatnonzero(t[i + STRIDE : j] >= 0)
             u, _ = self.net.forward(a[i:j], b[i:j])
             want = t[i + STRIDE : j][use]
-            p[i + STRIDE + use] = (1 - BACKGROUND) * self.net.probability(u[use], want) + BACKGROUND * self.rates[want]
+            p[i + STRIDE + use] = (1 - BACKGROUND) * self.net.probability(u, use, want) + BACKGROUND * self.rates[want]
         p = p[place] * self.share[stream(first, END, sizes)[1:]]
         ends = np.cumsum(sizes + 1)
         return np.add.reduceat(np.log10(p), ends - sizes - 1)

@@ -225,7 +225,7 @@ def test_lm_first_subwords_are_a_distribution():
     a, b, t, place = model.lay(every[0].ravel(), every[1].ravel(), np.full(len(begins), 4))
     u, _ = model.net.forward(a, b)
     at = place.reshape(-1, 5)[:, 3] - lm.STRIDE  # of the fourth word
-    p = (1 - lm.BACKGROUND) * model.net.probability(u[at], model.cls[begins]) + lm.BACKGROUND * model.rates[model.cls[begins]]
+    p = (1 - lm.BACKGROUND) * model.net.probability(u, at, model.cls[begins]) + lm.BACKGROUND * model.rates[model.cls[begins]]
     whole = p * model.share[begins]
     assert whole.sum() == pytest.approx(1, abs=1e-4)
     assert (ending(*every, 4) < ending(first[None], last[None], 3)[0] + np.log10(whole) + 3).all()
