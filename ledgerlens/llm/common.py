@@ -20,6 +20,9 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 #: Rows of a narrow table that is broadcast at most; a longer one is joined by a shuffle.
 BROADCAST = 100_000
+#: Row numbers that one bitmap covers, and bytes of bitmaps that are broadcast at most; beyond that rows are found by a shuffle.
+PAGE_BITS = 15
+BITMAPS = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +57,24 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST else df.hint("merge")
 
 
+def only_rows(df: DataFrame, wanted: DataFrame, most: int | None = None) -> tuple[DataFrame, str]:
+    """Rows of ``df`` whose ``_row`` is among those of ``wanted``, with the columns of ``df``, and the path to release.
+
+    Row numbers run on within a partition (``monotonically_increasing_id``), so a bitmap for each page of 32,768 numbers
+    says which are wanted. The bitmaps are written, counted and broadcast, and ``df`` is not moved. Bitmaps of more than
+    ``most`` (BITMAPS) bytes, about 268 million rows, are not broadcast; a shuffled semi-join then gives the same rows.
+    """
+    row = df["_row"].bitwiseAND((1 << PAGE_BITS) - 1)
+    bits = wanted.select("_row", F.shiftright("_row", PAGE_BITS).alias("_page")).repartition("_page").groupBy("_page")
+    bits, path = materialise(bits.agg(F.bitmap_construct_agg(F.col("_row").bitwiseAND((1 << PAGE_BITS) - 1)).alias("_bits")), "bitmaps")
+    if bits.count() << (PAGE_BITS - 3) > (BITMAPS if most is None else most):
+        return df.join(wanted.select("_row").hint("merge"), "_row", "left_semi").select(df.columns), path
+    byte = F.substring(bits["_bits"], (F.shiftright(row, 3) + 1).cast("int"), F.lit(1))
+    bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), row.bitwiseAND(7).cast("int")).bitwiseAND(1)
+    on = F.shiftright(df["_row"], PAGE_BITS) == bits["_page"]
+    return df.join(F.broadcast(bits), on).where(bit == 1).select([df[c] for c in df.columns]), path
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

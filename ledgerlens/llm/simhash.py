@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import by_batch, components, materialise, release, text_bytes
+from ledgerlens.llm.common import by_batch, components, materialise, only_rows, release, text_bytes
 
 SEED, WORDS, RADIUS = 42, 3, 3
 LAYOUTS = (2, 3, 4)
@@ -213,4 +213,4 @@ def first_rows(rows: DataFrame, of: DataFrame, nodes: DataFrame, key: str) -> Da
     placed = of.join(nodes, "node", "left").select("_row", F.coalesce("root", "node").alias("root")).join(keys, "_row")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "_row")).alias("f")).select(F.col("f._row").alias("_row"))
     first, _ = materialise(first, "first")
-    return rows.join(first, "_row", "left_semi").select("_doc.*")
+    return only_rows(rows, first)[0].select("_doc.*")

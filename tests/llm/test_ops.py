@@ -375,6 +375,19 @@ def test_overlap_against_all_pairs(spark, docs, monkeypatch, leaders):
     assert sum((fingerprints[i] ^ fingerprints[j]).bit_count() > 3 for i, j in alike) > 10  # what SimHash's 3 bits miss
 
 
+@pytest.mark.parametrize("most", [None, 0])
+@pytest.mark.parametrize("which", ["none", "all", "some", "edges"])
+def test_only_rows_finds_the_wanted_rows(spark, most, which):
+    rows = [p << 33 | i for p in (0, 1, 7) for i in (*range(40), 32767, 32768, 65535, 65536, 99999)]
+    g = random.Random(7)
+    wanted = {"none": [], "all": rows, "some": g.sample(rows, 50) * 2, "edges": [r for r in rows if r & 32767 in (0, 32767)]}[which]
+    df = spark.createDataFrame([(r, str(r)) for r in rows], "_row long, _page string").repartition(3)
+    found, path = common.only_rows(df, spark.createDataFrame([(r,) for r in wanted], "_row long"), most)
+    assert found.columns == df.columns
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r, str(r)) for r in set(wanted))
+    common.release(spark, path)
+
+
 def test_keep_first_keeps_a_row_of_each_component(spark):
     g = random.Random(8)
     texts = [" ".join(g.choices(["alpha", "beta", "gamma", "delta", "rho", "tau", "phi", "chi"], k=60)) for _ in range(4)]
