@@ -655,6 +655,20 @@ def test_embeddings_recall_does_not_fall_with_pivots(pivots):
     assert ((near[0][:, :, None] == near[1][:, None]).any(axis=2).sum(axis=1) >= embeddings.SHARED).mean() > 0.95
 
 
+def test_embeddings_sample_sends_little_to_the_driver(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(5).standard_normal((3000, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(40)
+    order = [r.id for r in sorted(frame.select("id", F.xxhash64("v").alias("h")).collect(), key=lambda r: (r.h, r.id))]
+    sent, real = [], type(frame).toArrow
+    monkeypatch.setattr(type(frame), "toArrow", lambda self: sent.append(real(self)) or sent[-1])
+    for wanted in (50, 2999, 5000):
+        assert (embeddings.sample_vectors(frame, 3000, wanted, 8) == x[order[:wanted]]).all()
+    # 40 tasks that each send their 50 smallest would send 2000 rows to the driver
+    assert 50 <= sent[0].num_rows < 400
+
+
 def test_embeddings_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 7)
     g = np.random.default_rng(6)
