@@ -6,19 +6,26 @@ All are aggregates and window functions over one shuffle key each; nothing depen
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+SAMPLED = 8  # sampled values of a group for each bucket that ``average_rank`` cuts it into, about
 
 
 def company_year(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """company, industry, place, year, revenue, n_orders; revenue summed as decimals, so its value does not depend on order."""
+    """company, industry, place, year, revenue, n_orders; revenue summed as decimals, so its value does not depend on order.
+
+    Customers of the same name, industry and place are one company.
+    """
     by = orders.groupBy("o_custkey", F.year("o_orderdate").cast("int").alias("year")).agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("revenue"), F.count("*").alias("n_orders"))
     named = by.join(customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     named = named.join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return named.select(F.col("c_name").alias("company"), F.col("c_mktsegment").alias("industry"), F.col("n_name").alias("place"), "year", "revenue", "n_orders")
+    of = named.groupBy(F.col("c_name").alias("company"), F.col("c_mktsegment").alias("industry"), F.col("n_name").alias("place"), "year")
+    return of.agg(F.sum("revenue").alias("revenue"), F.sum("n_orders").alias("n_orders"))
 
 
 def prior(value: str, by: str = "company", year: str = "year") -> Column:
@@ -40,17 +47,30 @@ def group_mean(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame
 def average_rank(df: DataFrame, value: str, by: list[str], name: str, buckets: int = 64) -> DataFrame:
     """Adds the descending rank within the groups, ties at their average, truncated; null for null.
 
-    Each group's values are cut at approximate quantiles, so equal values share a bucket whatever the cuts; a row's rank is
-    what the buckets above hold and its rank in its own. No task sorts more than a bucket, however few the groups.
+    Each group's values are cut at quantiles of a sample that the values' hashes draw, so every evaluation of the plan makes
+    the same cuts, and equal values share a bucket whatever the cuts; a row's rank is what the buckets above hold and its
+    rank in its own. No task sorts more than a bucket, however few the groups. Null group keys are a group like any other.
     """
-    cuts = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    x = df.join(cuts, by, "left").withColumn("_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c > F.col(value))), F.lit(-1))).drop("_cuts")
-    held = x.where(F.col(value).isNotNull()).groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    v = F.col(value)
+    known = df.where(v.isNotNull())
+    share = F.lit(buckets * SAMPLED * 2.0**31) / F.col("_n")
+    drawn = _with(known, known.groupBy(*by).agg(F.count("*").alias("_n")), by).where(F.pmod(F.xxhash64(value), F.lit(1 << 31)) < share)
+    cuts = drawn.groupBy(*by).agg(F.filter(F.array_sort(F.collect_set(value)), lambda c, i: i % SAMPLED == SAMPLED - 1).alias("_cuts"))
+    x = _with(df, cuts, by)
+    x = x.withColumn("_bucket", F.when(v.isNull(), -1).otherwise(F.coalesce(F.size(F.filter("_cuts", lambda c: c > v)), F.lit(0)))).drop("_cuts")
+    held = x.where(v.isNotNull()).groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     above = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = x.join(held.select(*by, "_bucket", above.alias("_above")), [*by, "_bucket"], "left")
+    x = _with(x, held.select(*by, "_bucket", above.alias("_above")), [*by, "_bucket"])
     ties = F.count("*").over(Window.partitionBy(*by, "_bucket", value))
     own = F.rank().over(Window.partitionBy(*by, "_bucket").orderBy(F.desc(value)))
-    return x.withColumn(name, F.when(F.col(value).isNotNull(), (F.col("_above") + own + (ties - 1) / 2).cast("int"))).drop("_bucket", "_above")
+    return x.withColumn(name, F.when(v.isNotNull(), (F.col("_above") + own + (ties - 1) / 2).cast("int"))).drop("_bucket", "_above")
+
+
+def _with(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` and what ``facts`` says of its group, if anything; null keys match null keys."""
+    facts = facts.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return df.join(facts, same, "left").drop(*[f"_of_{c}" for c in by])
 
 
 #: The ratio catalogue, name -> formula over items of a company's year.

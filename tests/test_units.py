@@ -217,6 +217,31 @@ def test_average_rank_with_ties_and_nulls(spark):
             assert got[i] is None
 
 
+def test_industry_rank_by_name_and_null_groups(spark, tmp_path):
+    import duckdb
+
+    from ledgerlens.catalogue import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE nation AS SELECT 1 AS n_nationkey, 'X' AS n_name")
+    con.sql("CREATE TABLE customer AS SELECT * FROM (VALUES (1, 'A', 'S', 1), (2, 'A', 'S', 1), (3, 'B', 'S', 1), (4, 'C', NULL, 1)) t(c_custkey, c_name, c_mktsegment, c_nationkey)")
+    con.sql("CREATE TABLE orders AS SELECT *, DATE '1995-03-01' AS o_orderdate FROM (VALUES (1, 1, 5.0), (2, 2, 6.0), (3, 3, 7.0), (4, 4, 1.0)) t(o_orderkey, o_custkey, o_totalprice)")
+    for t in ("nation", "customer", "orders"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    ours = QUERIES["industry_rank"](spark, str(tmp_path)).select("company", "industry", "year", "revenue", "industry_rank")
+    theirs = con.sql(f"SELECT company, industry, year, revenue, industry_rank FROM ({ORACLES['industry_rank']})").fetchall()
+    assert sorted(map(tuple, ours.collect()), key=str) == sorted(theirs, key=str) and len(theirs) == 3
+
+
+def test_average_rank_of_many_equal_values(spark):
+    from ledgerlens.operators import metrics as M
+
+    frame = spark.range(30000).selectExpr("id % 2 AS g", "cast(pow(id % 3000, 2) AS decimal(18,2)) AS v", "id").repartition(7)
+    got = {r.id: r.rank for r in M.average_rank(frame, "v", ["g"], "rank").collect()}
+    # 1500 values in each group, ten rows each
+    assert all(got[i] == (2999 - i % 3000) // 2 * 10 + 5 for i in range(30000))
+
+
 def test_statistic_answers_by_hand(spark):
     from pyspark.sql import functions as F
 
