@@ -34,11 +34,14 @@ def fold_width(c: Column) -> Column:
     return F.translate(c, "（）：，　", "():, ")
 
 
-def strip_label(c: Column) -> Column:
+#: Ordinals and marks that a statement row's label may begin with.
+LABEL_MARKS = r"([一二三四五六七八九十]+、|\([一二三四五六七八九十]+\)|[0-9]+[.、]|加:|减:|其中:)+"
+
+
+def strip_label(c: Column, marks: str = LABEL_MARKS, space: str = r"\s", folded: bool = True) -> Column:
     """A statement row's label without spaces, leading ordinals and marks, and without what stands in brackets at its end."""
-    c = F.regexp_replace(fold_width(c), r"\s", "")
-    c = F.regexp_replace(c, r"^([一二三四五六七八九十]+、|\([一二三四五六七八九十]+\)|[0-9]+[.、]|加:|减:|其中:)+", "")
-    return F.split(c, r"\(")[0]
+    c = F.regexp_replace(fold_width(c) if folded else c, space, "")
+    return F.split(F.regexp_replace(c, f"^{marks}", ""), r"\(")[0]
 
 
 def guard_sentinel(sql: str) -> str:

@@ -242,6 +242,22 @@ def test_average_rank_of_many_equal_values(spark):
     assert all(got[i] == (2999 - i % 3000) // 2 * 10 + 5 for i in range(30000))
 
 
+def test_statement_row_label_as_in_the_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ledgerlens.catalogue import ORACLES, QUERIES
+
+    rows = ["a | b", "1.2. x(y) | b", "1、p | 2", "（一） q | 3", "其中：r | 4", "12.\tz w | 5", "加:s | 6", "n\u00a0o | 7"]
+    pq.write_table(pa.table({"doc_id": [1, 2], "text": ["\n".join(rows), None]}), f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    ours = QUERIES["statement_row_parse"](spark, str(tmp_path)).select("doc_id", "pos", "label", "value")
+    theirs = con.sql(f"SELECT doc_id, pos, label, value FROM ({ORACLES['statement_row_parse']})").fetchall()
+    assert sorted(map(tuple, ours.collect())) == sorted(theirs) and len(theirs) == len(rows)
+
+
 def test_statistic_answers_by_hand(spark):
     from pyspark.sql import functions as F
 
