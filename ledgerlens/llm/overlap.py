@@ -1,10 +1,11 @@
-"""Near copies by the overlap of word shingles: MinHash bands find candidates, the shingle sets themselves decide.
+"""Near copies by SimHash and MinHash of word shingles: both find candidates, the shingle sets themselves decide.
 
-Documents with equal sets are one node. Nodes that share a band are linked to the band's smallest node, which gives
-candidate components with few edges. A candidate component is dealt to blocks; within a block, and with some leaders of
-the whole component that every block sees, all pairs that share a band are compared by their exact Jaccard similarity,
+Documents with equal sets are one node. Fingerprints of the sets are linked by the search of ``simhash`` at its radius,
+and what they connect is a key of its nodes; bands of MinHash are further keys, for pairs that a fingerprint tells apart.
+Nodes that share a key are linked to the key's smallest node, which gives candidate components with few edges. A candidate component is dealt to blocks; within a block, and with some leaders of
+the whole component that every block sees, all pairs that share a key are compared by their exact Jaccard similarity,
 and a task returns only a spanning forest. What is not yet connected is then compared block against block, but only
-where a band holds nodes of different parts; a large part's blocks never meet each other, so a group of near copies of
+where a key holds nodes of different parts; a large part's blocks never meet each other, so a group of near copies of
 any size costs a pass over it. Two documents at the similarity ``ALIKE`` share a band with probability 0.9997, more
 alike ones more surely, whatever the size of the input; no band or group is capped.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import by_batch, components, materialise, only_rows, release, small, text_bytes
-from ledgerlens.llm.simhash import first_rows, numbered
+from ledgerlens.llm.simhash import first_rows, fold, link_pairs, numbered
 
 SEED, WORDS, ALIKE = 42, 5, 0.8
 BANDS, ROWS = 20, 5
@@ -124,8 +125,22 @@ def links(held: DataFrame) -> tuple[DataFrame, list[str]]:
     return joined, [path, left_path, of_path, placed_path, mixed_path, meet_path, second_path, *paths]
 
 
+def keyed(sets: DataFrame) -> tuple[DataFrame, str]:
+    """sets: node, _row, keys, fp. node, _row and keys, written; the last key is the component of the node's fingerprint by links
+    of fingerprints at ``simhash.RADIUS`` or fewer differing bits."""
+    sets, path = materialise(sets, "sets")
+    distinct, distinct_path = materialise(sets.select("fp").distinct(), "simhash-distinct")
+    near, near_paths = components(link_pairs(distinct))
+    near = near.select(F.col("node").alias("fp"), F.col("root").alias("near"))
+    own = F.xxhash64(F.lit("simhash"), F.coalesce("near", "fp"))
+    out, out_path = materialise(sets.join(small(near), "fp", "left").select("node", "_row", F.concat("keys", F.array(own)).alias("keys")), "keyed")
+    release(sets.sparkSession, path, distinct_path, *near_paths)
+    return out, out_path
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component of documents at similarity ``ALIKE`` or more, that with the smallest key.
+    """One document of each component of documents at similarity ``ALIKE`` or more, that with the smallest key. Candidates
+    share a SimHash component or a MinHash band.
 
     Texts without words (null, empty or white space) are equal. A null key comes after all others; of rows with the same
     key in a component any one stays, and rows of different components stay whatever their keys. All columns come out as
@@ -137,11 +152,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def mark(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in text_bytes(b.column(1))]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return pa.record_batch([b.column(0), pa.array(node), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["_row", "node", "keys"])
+        fp = np.array([fold(s) for s in sets], np.uint64).view(np.int64)
+        return pa.record_batch([b.column(0), pa.array(node), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(fp)], names=["_row", "node", "keys", "fp"])
 
     texts = rows.select("_row", F.col("_doc").getField(text).alias("_text"))
-    marked, path = materialise(by_batch(texts, mark, "_row long, node long, keys array<long>"), "bands")
-    one, one_path = materialise(marked.groupBy("node").agg(F.min("_row").alias("_row"), F.first("keys").alias("keys")), "sets")
+    marked, path = materialise(by_batch(texts, mark, "_row long, node long, keys array<long>, fp long"), "bands")
+    one, one_path = keyed(marked.groupBy("node").agg(F.min("_row").alias("_row"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
     listed = one.select("node", F.explode("keys").alias("key"))
     shared = listed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
     candidates, paths = components(listed.join(shared, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))

@@ -40,8 +40,13 @@ def simhash(text: bytes, n: int = WORDS, seed: int = SEED) -> int:
         starts = [0, *ends[: len(words) - n].tolist()]
         h = xxhash.xxh64_intdigest
         hashes = [h(joined[i:j], seed) for i, j in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)]
+    return fold(np.array(hashes, np.uint64))
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The fingerprint of these hashes: bits that more than half of them have; zero of none."""
     total = np.zeros(64, np.int64)
-    values = np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
+    values = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     for i in range(0, len(values), 1 << 16):
         total += np.unpackbits(values[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > len(hashes)).view(">u8")[0])

@@ -622,6 +622,21 @@ def test_mixing_arrays_of_sources(spark):
     assert sum(r.taken for r in mixing.mix(d).collect()) == pytest.approx(900, abs=20)
 
 
+def test_pipeline_finds_near_copies_by_simhash(spark, monkeypatch):
+    import corpus_pipeline
+
+    g = random.Random(3)
+    texts = [" ".join(g.choice("abcdefgh") + str(g.randrange(500)) for _ in range(400)) for _ in range(30)]
+    near = [t + " end" for t in texts]
+    bits = [(simhash.fold(overlap.shingles(a.encode())) ^ simhash.fold(overlap.shingles(b.encode()))).bit_count() for a, b in zip(texts, near, strict=True)]
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts + near)], "doc_id long, text string, lang string, source string, n_chars long")
+    # no band is shared, so what is found is found by fingerprints
+    monkeypatch.setattr(overlap, "band_keys", lambda s: (np.arange(20, dtype=np.uint64) + s.sum(dtype=np.uint64)).view(np.int64))
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, SF).collect()}
+    assert got == set(range(30)) | {30 + i for i, b in enumerate(bits) if b > simhash.RADIUS}
+    assert len(got) < 60
+
+
 # --- embeddings -----------------------------------------------------------------------------------------------------
 
 
