@@ -127,6 +127,17 @@ def row_sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], x.dtype)
 
 
+_HELD: dict[str, np.ndarray] = {}
+
+
+def held(name: str, shape: tuple[int, ...], dtype) -> np.ndarray:
+    """Unset memory, the same for all calls of a name, so that a pass does not touch new pages; good until the next pass."""
+    size, got = int(np.prod(shape)), _HELD.get(name)
+    if got is None or got.dtype != dtype or got.size < size:
+        got = _HELD[name] = np.empty(size, dtype)
+    return got[:size].reshape(shape)
+
+
 class Attention:
     """Weights and passes over chunks of STRIDE places. Inputs are vectors of the tokens before, targets are classes.
 
@@ -164,8 +175,9 @@ class Attention:
         """a, b: rows of ``first`` and ``last`` at each place, a = -1 where there is none. Gives the hidden layer of all
         places after chunk 0 (its last column is 1), and what the way ``back`` needs."""
         w, d, n = self.w, WIDTH, len(a) // STRIDE - 1
-        x = np.concatenate((self.first.take(a, axis=0, mode="clip"), self.last.take(b, axis=0, mode="clip")), axis=1)
-        h = x @ w["x"]
+        kind = np.result_type(self.first, self.last)
+        x = np.concatenate((self.first.take(a, axis=0, mode="clip"), self.last.take(b, axis=0, mode="clip")), axis=1, out=held("x", (len(a), d), kind))
+        h = np.matmul(x, w["x"], out=held("h", (len(a), w["x"].shape[1]), np.result_type(kind, w["x"])))
         over = lambda y: np.lib.stride_tricks.as_strided(y, (n, WINDOW, d), (STRIDE * y.strides[0], *y.strides))
         q, k, v = h[STRIDE:, :d].reshape(n, STRIDE, d), over(h[:, d : 2 * d]), over(h[:, 2 * d : 3 * d])
         s = q @ k.transpose(0, 2, 1)
@@ -191,7 +203,7 @@ class Attention:
     def probability(self, u: np.ndarray, rows: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Of class t at each of these rows of the hidden layer."""
         g, s = np.divmod(t, SLOTS)
-        order = np.argsort(g, kind="stable")
+        order = np.argsort(g.astype(np.int16), kind="stable")
         u, g, s = u.take(rows[order], axis=0, mode="clip"), g[order], s[order]
         bounds, at = np.searchsorted(g, np.arange(len(self.w["s"]) + 1)), np.arange(len(t))
         among, within = powers(u @ self.w["g"]), np.empty((len(t), SLOTS), u.dtype)
@@ -210,7 +222,7 @@ class Attention:
         n = len(q)
         use = np.flatnonzero(targets >= 0)
         tg, ts = np.divmod(targets[use], SLOTS)
-        order = np.argsort(tg, kind="stable")
+        order = np.argsort(tg.astype(np.int16), kind="stable")
         use, tg, ts = use[order], tg[order], ts[order]
         rows, scale = u.take(use, axis=0, mode="clip"), np.asarray(1 / max(len(use), 1), u.dtype)
         at, groups = np.arange(len(use)), np.arange(len(w["s"]))
@@ -230,7 +242,8 @@ class Attention:
         for i, own in owns:
             grad["s"][i] = rows[own].T @ within[own]
             du[own] += within[own] @ w["s"][i].T
-        dpre = np.zeros((n * STRIDE, HIDDEN), u.dtype)
+        dpre = held("dpre", (n * STRIDE, HIDDEN), u.dtype)
+        dpre.fill(0)
         dpre[use] = du[:, :-1] * (rows[:, :-1] > 0)
         grad["c"] = dpre.sum(axis=0)
         grad["m"] = mixed.reshape(-1, d).T @ dpre
@@ -241,7 +254,7 @@ class Attention:
         ds *= s
         grad["r"] = np.bincount(self.gap.ravel(), (ds.sum(axis=0) * self.causal).ravel(), WINDOW).astype(u.dtype)
         dk = ds.transpose(0, 2, 1) @ q
-        dh = np.empty((len(a), 3 * d + HIDDEN), u.dtype)
+        dh = held("dh", (len(a), 3 * d + HIDDEN), u.dtype)
         dh[:STRIDE, :d] = dh[:STRIDE, 3 * d :] = 0
         dh[-STRIDE:, d : 3 * d] = 0
         dh[STRIDE:, :d] = (ds @ k).reshape(-1, d)
